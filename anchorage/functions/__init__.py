@@ -1 +1 @@
-
+"""Column functions on text and inline links."""

@@ -1,4 +1,6 @@
-"""Registered queries and their SQL."""
+"""Registered queries of the engine and their SQL, over whole tables."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import QUERIES
+from .sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
