@@ -118,7 +118,7 @@ CAST(row_number() OVER (PARTITION BY anchor ORDER BY pair_count DESC, target) AS
     "surface_stats": f"WITH {_STATS} SELECT * FROM st",
     "blacklist": f"WITH {_STATS} SELECT * FROM st WHERE p_link <= {BLACK_P}",
     "whitelist": f"WITH {_STATS} SELECT anchor, target, freq_link, freq_text, total, p_link, target_share FROM st JOIN top USING (anchor) WHERE p_link >= {WHITE_P} AND total >= {WHITE_TOTAL} AND target_share >= {WHITE_SHARE}",
-    "norm_text": "SELECT doc_id, nfc_normalize(translate(coalesce(text, ''), chr(160) || '’‘ʼ`´“”„', ' ''''''''''"""')) AS text FROM documents",
+    "norm_text": "SELECT doc_id, nfc_normalize(translate(coalesce(text, ''), chr(160) || '’‘ʼ`´“”„', ' ''''''''''\"\"\"')) AS text FROM documents",
     "word_counts": f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_WORDS}')) AS INT) AS words FROM documents",
     "link_ratio": f"WITH {_ARTICLES} SELECT doc_id, {_L} AS linked, {_T} AS total, CASE WHEN {_T} > 0 THEN {_L} / {_T} ELSE 0.0 END AS link_ratio FROM ar",
     "paragraph_filter": f"""WITH {_ARTICLES}, q AS (SELECT doc_id, list_filter(list_transform(string_split(text, E'\\n\\n'), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: p <> '') AS ps FROM ar),
