@@ -21,7 +21,7 @@ from .base import documents
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are sampled at most, by the hash of their id.
-SAMPLE = {1: 1500, 0: 4500}
+SAMPLE = {1: 1000, 0: 3000}
 #: Toxic documents are grade 1, 2 or 3 as they have fewer marker words than the first bound, the second, or not.
 GRADE_BOUNDS = (3, 6)
 #: Lengths of the beginnings of words that are features beside whole words.
@@ -140,7 +140,7 @@ def fit(texts: list[str], toxic: list[int], ridge: float = RIDGE) -> OrdinalMode
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled documents of each class, whole texts; ids of 6000 rows are broadcast."""
+    """At most SAMPLE labelled documents of each class, whole texts; ids of 4000 rows are broadcast."""
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for toxic, most in SAMPLE.items():
