@@ -20,6 +20,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .base import documents
@@ -29,7 +30,10 @@ NBEST = 4
 SPACE = "\u2581"
 #: A byte piece costs so many micronats more than the rarest piece.
 BYTE_COST = 10_000_000
-CACHE = 1 << 19
+#: Words, and an eighth as many n-best lists, that are kept at most; then they are worked out anew.
+CACHE = 1 << 17
+#: Words that go through a lattice at once, and rows and bytes of text that are segmented at once.
+TOGETHER, ROWS, BYTES = 2048, 512, 1 << 20
 
 Path = tuple[int, tuple[int, ...]]
 
@@ -71,7 +75,7 @@ class Pieces:
         self._tables()
 
     def _tables(self) -> None:
-        """Two direct tables by a hash of the piece; each piece lies in one of them."""
+        """Direct tables by a hash of the piece; each piece lies in one of them."""
         self.char_ids = np.zeros(0x110000, np.uint64)
         for i, c in enumerate(sorted({c for p in self.scores for c in p}), 1):
             self.char_ids[ord(c)] = i
@@ -79,15 +83,21 @@ class Pieces:
         hashes = {p: int(self._hash(np.array([[ord(c)] for c in p], np.uint32), len(p))[-1][0, 0]) for p in self.scores}
         if len(set(hashes.values())) < len(hashes):
             raise ValueError("two pieces share a hash")
-        self.slots = [(np.zeros(1 << TABLE_BITS, np.uint64), np.full(1 << TABLE_BITS, -1, np.int32)) for _ in MULTIPLIERS]
-        for p, h in hashes.items():
-            for m, (keys, ids) in zip(MULTIPLIERS, self.slots, strict=True):
-                at = h * m % (1 << 64) >> 64 - TABLE_BITS
+        self.bits = (32 * len(hashes)).bit_length()
+        self.slots, rest = [], hashes
+        for m in MULTIPLIERS:
+            keys, ids, left = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), {}
+            for p, h in rest.items():
+                at = h * m % (1 << 64) >> 64 - self.bits
                 if ids[at] < 0:
                     keys[at], ids[at] = h, self.ids[p]
-                    break
-            else:
-                raise ValueError("a piece found no slot")
+                else:
+                    left[p] = h
+            self.slots.append((m, keys, ids))
+            if not (rest := left):
+                break
+        else:
+            raise ValueError("a piece found no slot")
         self.id_scores = np.zeros(len(self.bytes), np.int64)
         for p, x in self.scores.items():
             self.id_scores[self.ids[p]] = x
@@ -103,8 +113,8 @@ class Pieces:
 
     def _piece_ids(self, h: np.ndarray) -> np.ndarray:
         out = np.full(h.shape, -1, np.int32)
-        for m, (keys, ids) in zip(MULTIPLIERS, self.slots, strict=True):
-            at = (h * np.uint64(m) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        for m, keys, ids in self.slots:
+            at = (h * np.uint64(m) >> np.uint64(64 - self.bits)).astype(np.int64)
             out = np.where((keys[at] == h) & (ids[at] >= 0), ids[at], out)
         return out
 
@@ -120,31 +130,36 @@ class Pieces:
                 self._enter(w, self.paths(w))
             else:
                 by_length.setdefault(len(w) + 1, []).append(w)
-        for n, group in by_length.items():
-            text = "".join([SPACE + w for w in group]).replace(" ", SPACE)
-            chars = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T)
-            top = min(n, self.longest)
-            ids = [self._piece_ids(h) for h in self._hash(chars, top)]
-            scores = [np.where(i >= 0, self.id_scores[i], NO_EDGE) for i in ids]
-            size = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-            scores[0] = np.where(ids[0] >= 0, scores[0], self.byte_score * size)
-            best, second = np.zeros((n + 1, len(group)), np.int64), np.full((n + 1, len(group)), NO_EDGE)
-            taken = np.zeros((n + 1, len(group)), np.int8)
-            for j in range(1, n + 1):
-                a, b, t = best[j - 1] + scores[0][j - 1], second[j - 1] + scores[0][j - 1], np.ones(len(group), np.int8)
-                for k in range(2, min(j, top) + 1):
-                    w = scores[k - 1][j - k]
-                    x = best[j - k] + w
-                    t[x > a] = k
-                    b = np.maximum(np.maximum(b, second[j - k] + w), np.minimum(a, x))
-                    a = np.maximum(a, x)
-                best[j], second[j], taken[j] = a, b, t
-            gap = np.where(second[n] > NO_EDGE // 2, best[n] - second[n], NEVER)
-            flat, ends = self._read_back(chars, ids, taken, n)
-            raw, at = flat.tobytes(), 0
-            for w, end, x, g in zip(group, ends.tolist(), best[n].tolist(), gap.tolist(), strict=True):
-                self.words[w] = (raw[4 * at : 4 * end], x, g, w)
-                at = end
+        for n, every in by_length.items():
+            for at in range(0, len(every), TOGETHER):
+                self._learn_alike(n, every[at : at + TOGETHER])
+
+    def _learn_alike(self, n: int, group: list[str]) -> None:
+        """Enters words of n characters, the space mark among them."""
+        text = "".join([SPACE + w for w in group]).replace(" ", SPACE)
+        chars = np.ascontiguousarray(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).T)
+        top = min(n, self.longest)
+        ids = [self._piece_ids(h) for h in self._hash(chars, top)]
+        scores = [np.where(i >= 0, self.id_scores[i], NO_EDGE) for i in ids]
+        size = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
+        scores[0] = np.where(ids[0] >= 0, scores[0], self.byte_score * size)
+        best, second = np.zeros((n + 1, len(group)), np.int64), np.full((n + 1, len(group)), NO_EDGE)
+        taken = np.zeros((n + 1, len(group)), np.int8)
+        for j in range(1, n + 1):
+            a, b, t = best[j - 1] + scores[0][j - 1], second[j - 1] + scores[0][j - 1], np.ones(len(group), np.int8)
+            for k in range(2, min(j, top) + 1):
+                w = scores[k - 1][j - k]
+                x = best[j - k] + w
+                t[x > a] = k
+                b = np.maximum(np.maximum(b, second[j - k] + w), np.minimum(a, x))
+                a = np.maximum(a, x)
+            best[j], second[j], taken[j] = a, b, t
+        gap = np.where(second[n] > NO_EDGE // 2, best[n] - second[n], NEVER)
+        flat, ends = self._read_back(chars, ids, taken, n)
+        raw, at = flat.tobytes(), 0
+        for w, end, x, g in zip(group, ends.tolist(), best[n].tolist(), gap.tolist(), strict=True):
+            self.words[w] = (raw[4 * at : 4 * end], x, g, w)
+            at = end
 
     def _read_back(self, chars, ids, taken, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The best paths' ids, row after row, and where each row ends."""
@@ -283,7 +298,7 @@ class Pieces:
         for a, b in zip(cuts, cuts[1:], strict=False):
             x = s[a:b]
             if (p := self.stretches.get(x)) is None:
-                if len(self.stretches) >= CACHE:
+                if len(self.stretches) >= CACHE // 8:
                     self.stretches.clear()
                 p = self.search(x)
                 if len(x) <= 64:
@@ -346,13 +361,24 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Starts and lengths of runs of at most ROWS rows and, unless a text alone has more, BYTES bytes."""
+    at, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > at and (i - at >= ROWS or size + n > BYTES):
+            yield at, i - at
+            at, size = i, 0
+        size += n
+    if at < len(texts):
+        yield at, len(texts) - at
+
+
 NEVER = 1 << 60
 #: Less than any path's score, and so little that a word's sum of them fits.
 NO_EDGE = -(1 << 50)
 LONGEST_WORD = 48
-TABLE_BITS = 21
-#: Odd 64-bit multipliers of the two tables.
-MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd 64-bit multipliers of the tables.
+MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _RUNS = re.compile(" +[^ ]*")
 _IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 
@@ -371,8 +397,8 @@ def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, nbest)
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.slice(at, 512)
+            for at, rows in slices(b.column("text")):
+                part = b.slice(at, rows)
                 texts = [t.as_py() or "" for t in part.column("text")]
                 split = pieces.prepare(texts)
                 done = [pieces.segmented(w) for w in split]
