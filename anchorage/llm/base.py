@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,22 @@ class Scratch:
             _delete(self.spark, df._scratch_path)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives memory back to the system when it ends: idle Python workers else hold theirs
+    while the next stage needs it."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # another C library
+            pass
+
+    return tidied
+
+
 def bits_for(keys: int) -> int:
     """Bits of a bitmap for so many keys: 32 a key, at most MAX_BITMAP_BITS."""
     return min(MAX_BITMAP_BITS, max(1 << 15, 1 << (max(1, 32 * keys) - 1).bit_length()))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import BLANK_BYTES, Scratch, bits_for, documents, in_bitmap, key_bitmap
+from .base import BLANK_BYTES, Scratch, bits_for, documents, in_bitmap, key_bitmap, tidy
 
 MODULUS = (1 << 31) - 1
 BASES = (1_000_003, 48_271_337)
@@ -94,7 +94,7 @@ def fingerprint_parts(parts: DataFrame, key: str, seq: str, part: str) -> DataFr
 
     kind = dict(parts.dtypes)
     rows = parts.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(part).alias("part"))
-    rows = rows.mapInArrow(hashed, f"key {kind[key]}, seq {kind[seq]}, d array<{DIGEST}>")
+    rows = rows.mapInArrow(tidy(hashed), f"key {kind[key]}, seq {kind[seq]}, d array<{DIGEST}>")
     whole = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("all"))
     whole = whole.select("key", combine(F.flatten(F.transform("all", lambda x: x.d))).alias("d"))
     return whole.select(F.col("key").alias(key), F.col("d.n").alias("n"), F.col("d.h1").alias("f1"), F.col("d.h2").alias("f2"))
@@ -134,7 +134,7 @@ def _hashed(df: DataFrame, text: str, modulus: int, bitmap=None, want: bool | No
     base = list(df.schema.fields) if want is not None or sha else []
     schema = T.StructType(base + [T.StructField(k, T.LongType()) for k in _KEY] + ([T.StructField("text_sha256", T.StringType())] if sha else []))
     fields = schema.names
-    return (df if base else df.select(text)).mapInArrow(run, schema) if base else _only(df, text, modulus, schema)
+    return (df if base else df.select(text)).mapInArrow(tidy(run), schema) if base else _only(df, text, modulus, schema)
 
 
 def _only(df: DataFrame, text: str, modulus: int, schema: T.StructType) -> DataFrame:
@@ -144,7 +144,7 @@ def _only(df: DataFrame, text: str, modulus: int, schema: T.StructType) -> DataF
             key = np.array(ds, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(key[:, k]) for k in range(3)], _KEY)
 
-    return df.select(text).mapInArrow(run, schema)
+    return df.select(text).mapInArrow(tidy(run), schema)
 
 
 def _fold(ds: list[dict], modulus: int) -> tuple[int, int, int]:
@@ -231,7 +231,7 @@ def resolve_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
         salts = F.when(F.col("rows") > hot_rows, F.ceil(F.col("rows") / hot_rows)).otherwise(1).cast("int")
         spread = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         met = salted.join(spread, [*_KEY, "salt"]).select("rid", "rep_rid", "rep_id", "rows", "text", "rep_text")
-        met = scratch.save(met.mapInArrow(_compare, "rid bigint, rep_rid bigint, rep_id bigint, rows bigint, same boolean"))
+        met = scratch.save(met.mapInArrow(tidy(_compare), "rid bigint, rep_rid bigint, rep_id bigint, rows bigint, same boolean"))
         missed = met.where(~F.col("same"))
         if missed.isEmpty():
             decided.append(met.where("same"))

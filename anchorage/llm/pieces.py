@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import documents
+from .base import documents, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
@@ -418,7 +418,7 @@ def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str =
     kinds = dict(df.dtypes)
     names = [doc_id, *keep, "ids", "n_pieces", "score", "nbest_scores", "round_trip"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (doc_id, *keep))
-    return rows.mapInArrow(run, f"{schema}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, round_trip boolean")
 
 
 def _spell(pieces: Pieces, ids: tuple[int, ...]) -> bytes:
@@ -438,7 +438,7 @@ def decoded(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, `{to}` string")
+    return df.mapInArrow(tidy(run), f"{kinds}, `{to}` string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import documents, tidy
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are sampled at most, by the hash of their id.
@@ -62,7 +62,7 @@ class _Lookup(dict):
         self.features = features
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         self[word] = found = tuple(self.features[p] for p in parts(word) if p in self.features)
         return found
@@ -176,7 +176,7 @@ def graded(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p @ np.arange(p.shape[1])), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(1 - p[:, 0])], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, severity double, grade int, p_toxic double")
+    return df.mapInArrow(tidy(run), f"{kinds}, severity double, grade int, p_toxic double")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
