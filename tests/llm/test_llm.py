@@ -86,6 +86,33 @@ def test_jaccard_large_leaf(spark, monkeypatch):
     assert jaccard_join.runs_for(0.999) >= 5
 
 
+def test_jaccard_links_of_a_leaf_stay_connected():
+    """A star of two pairs and a chain: the least neighbours alone would cut both."""
+    star, chain = [(1, 2), (3, 4), (5, 1), (5, 2), (5, 3), (5, 4)], [(1, 3), (3, 5), (5, 2)]
+    for links in (star, chain):
+        sids = sorted({x for pair in links for x in pair})
+        sets = {s: list(range(1000 * s, 1000 * s + 40)) for s in sids}
+        for k, (a, b) in enumerate(links):  # what a link shares; at this threshold nothing else is linked
+            shared = range(10**6 + 1000 * k, 10**6 + 1000 * k + 100)
+            sets[a] += shared
+            sets[b] += shared
+        packed = [np.array(sorted(sets[s]), np.uint64).tobytes() for s in sids]
+        got = jaccard_join._linked(sids, [1] * len(sids), [[7]] * len(sids), packed, 7, np.ones(len(sids), bool), True, 0.12)
+        assert {s: r[0] for s, r in got.items()} == {s: sum(s in pair for pair in links) for s in sids}
+        assert {s: r[2] for s, r in got.items()} == dict.fromkeys(sids, 1)
+
+
+def test_jaccard_classes_of_stars(spark):
+    """An original and two pairs of edited versions, many times: one class each, whatever ids the sets get."""
+    rows = []
+    for k in range(25):
+        words = [f"s{k}w{i}" for i in range(200)]
+        for spots in ((), (10, 30, 50, 70), (10, 30, 50, 71), (110, 130, 150, 170), (110, 130, 150, 171)):
+            rows.append((len(rows), " ".join("edited" if i in spots else w for i, w in enumerate(words))))
+    got = {r.doc_id: r for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i].class_id == i - i % 5 and got[i].links == (2 if i % 5 else 4) for i in got)
+
+
 def test_permutation_and_shards(spark, docs, none):
     for n in (1, 2, 3, 7, 50, 999):
         got = [r.p for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 5).alias("p")).collect()]
