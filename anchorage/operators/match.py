@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 
-#: Patterns are broadcast up to this number; more of them go through the join.
+#: Patterns are broadcast up to this number; counting takes more of them in blocks.
 MOST_PATTERNS = 2_000_000
 
 
@@ -55,12 +55,36 @@ def plain_counts(df: DataFrame, patterns: DataFrame, text: str = "text", quotes:
     """``anchor, freq_text``: occurrences in the normalised text without its links.
 
     Each task counts its own texts, so few rows are shuffled. Dictionaries beyond the broadcast
-    bound go through ``plain_counts_by_join``, and what needs no word boundary in blocks.
+    bound are counted in blocks of at most so many patterns, with one pass over the texts each.
     """
-    if patterns.limit(MOST_PATTERNS + 1).count() > MOST_PATTERNS:
-        return plain_counts_by_join(df, patterns, text, quotes)
-    shared = df.sparkSession.sparkContext.broadcast(sorted(r.anchor for r in _collected(patterns, "anchor")))
     plain = t.strip_links(t.norm_text(F.col(text), quotes)).alias("plain")
+    rows = df.where(F.coalesce(F.col(text), F.lit("")) != "").select(plain)
+    out = None
+    for block in _blocks(patterns):
+        part = _counted(rows, block)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("anchor").agg(F.sum("n").alias("freq_text"))
+
+
+def _blocks(patterns: DataFrame) -> Iterator[list[str]]:
+    """All patterns in sorted lists of at most MOST_PATTERNS; an empty list if there are none."""
+    first = sorted(r.anchor for r in patterns.select("anchor").limit(MOST_PATTERNS + 1).collect())
+    if len(first) <= MOST_PATTERNS:
+        yield first
+        return
+    every, last = patterns.select("anchor").distinct(), ""
+    while True:
+        block = [r.anchor for r in every.where(F.col("anchor") > last).orderBy("anchor").limit(MOST_PATTERNS).collect()]
+        if block:
+            yield block
+        if len(block) < MOST_PATTERNS:
+            return
+        last = block[-1]
+
+
+def _counted(rows: DataFrame, block: list[str]) -> DataFrame:
+    """``anchor, n`` of one block of patterns, by task."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, found = Matcher(shared.value), Counter()
@@ -70,15 +94,14 @@ def plain_counts(df: DataFrame, patterns: DataFrame, text: str = "text", quotes:
         keys = sorted(found)
         yield pa.RecordBatch.from_arrays([pa.array([matcher.patterns[i] for i in keys], pa.string()), pa.array([found[i] for i in keys], pa.int64())], ["anchor", "n"])
 
-    rows = df.where(F.coalesce(F.col(text), F.lit("")) != "").select(plain).mapInArrow(run, "anchor string, n bigint")
-    return rows.groupBy("anchor").agg(F.sum("n").alias("freq_text"))
+    return rows.mapInArrow(run, "anchor string, n bigint")
 
 
-def plain_counts_by_join(df: DataFrame, patterns: DataFrame, text: str = "text", quotes: bool = False, runs: int = 4) -> DataFrame:
-    """The same by an equi-join, for patterns that need word boundaries and hold at most so many words.
+def plain_counts_by_join(df: DataFrame, patterns: DataFrame, text: str = "text", quotes: bool = False) -> DataFrame:
+    """The same by an equi-join, for patterns that need word boundaries only.
 
-    Such a match begins and ends with whole runs of word characters: the text's run n-grams are
-    joined with the patterns.
+    Such a match begins and ends with whole runs of word characters: the text's run n-grams, of
+    all numbers of runs that patterns have, are joined with the patterns.
     """
     plain = t.strip_links(t.norm_text(F.col(text), quotes)).alias("plain")
     piece = rf"([{t.WORD_CHAR}]+|[^{t.WORD_CHAR}]+)"
@@ -90,6 +113,8 @@ def plain_counts_by_join(df: DataFrame, patterns: DataFrame, text: str = "text",
         at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.array_join(F.slice("p", i, 2 * k - 1), ""))
 
-    every = rows.select(F.explode(F.concat(*[grams(k) for k in range(1, runs + 1)])).alias("anchor"))
     wanted = patterns.where(t.needs_boundary(F.col("anchor"))).select("anchor")
+    size = F.floor((F.size(F.regexp_extract_all("anchor", F.lit(piece), 1)) + 1) / 2).cast("int")
+    runs = sorted(r.k for r in wanted.select(size.alias("k")).distinct().collect()) or [1]
+    every = rows.select(F.explode(F.concat(*[grams(k) for k in runs])).alias("anchor"))
     return every.join(wanted, "anchor").groupBy("anchor").agg(F.count("*").alias("freq_text"))

@@ -43,6 +43,18 @@ def test_matching_against_all_positions(spark):
     assert match.plain_counts(df, pat.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 2, 4])
+def test_matching_in_blocks(spark, monkeypatch, most):
+    """More patterns than the bound, some of many words and some without word boundaries."""
+    monkeypatch.setattr(match, "MOST_PATTERNS", most)
+    df = spark.createDataFrame([("C++ and one two three four five six at Inc. one",), ("Inc. C++",)], "text string")
+    want = {"C++": 2, "Inc.": 2, "one two three four five six": 1, "one": 2}
+    pat = spark.createDataFrame([(p,) for p in [*want, "none"]], "anchor string")
+    assert {r.anchor: r.freq_text for r in match.plain_counts(df, pat).collect()} == want
+    joined = {r.anchor: r.freq_text for r in match.plain_counts_by_join(df, pat).collect()}
+    assert joined == {"one two three four five six": 1, "one": 2}
+
+
 def test_rewriting(spark):
     assert rewrite.unlinked("[[T|a]] [[b]] [[|a]] [[a", frozenset(["a"])) == "a [[b]] [[|a]] [[a"
     m = match.Matcher(["ab", "ab cd", "cd", "[["])
