@@ -41,7 +41,9 @@ _NAME = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
 #: What stands left of an @, and right of it.
 _LOCAL = re.compile(r"[\w.+-]*\w\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*?\.[A-Za-z]{2,}(?![A-Za-z0-9-]|\.[A-Za-z0-9])")
-_SECRET = re.compile(r"(?:token|secret|api_key|password|key) = \"([A-Za-z0-9_+/=-]{16,})\"")
+_SECRET = re.compile(r"(?:token|secret|api_key|password|key)[\"']?[ \t]*[=:][ \t]*([\"'])([A-Za-z0-9_+/=-]{16,})\1", re.IGNORECASE)
+#: What each secret holds; a search for it is fast.
+_QUOTED = re.compile(r"[=:][ \t]*[\"'][A-Za-z0-9_+/=-]{16}")
 #: A run of digits and their separators; the number patterns are tried inside such runs only.
 _RUN = re.compile(r"[0-9][0-9 ().-]{5,}")
 _NUMBER = re.compile(
@@ -50,9 +52,12 @@ _NUMBER = re.compile(
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))"
 )
-_TITLED = re.compile(rf"\b({'|'.join(TITLES)})\.? ({_NAME}(?: {_NAME})?)")
+#: Titles are written as above or all in capitals (in small letters some are everyday words), and so are names.
+_GENDERS = TITLES | {t.upper(): g for t, g in TITLES.items()}
+_SHOUTED = rf"[{_UP}]{{2,}}(?:-[{_UP}]{{2,}})?(?![{_LOW}])"
+_TITLED = re.compile(rf"\b({'|'.join(_GENDERS)})\.? ({_NAME}(?: {_NAME})?|{_SHOUTED}(?: {_SHOUTED})?)")
 #: The titles again, by their first letters: a search for one of a few letters is fast.
-_CUE = re.compile("[" + "".join(sorted({t[0] for t in TITLES})) + "](?:" + "|".join(sorted({t[1:] for t in TITLES}, key=len, reverse=True)) + r")\b")
+_CUE = re.compile("[" + "".join(sorted({t[0] for t in _GENDERS})) + "](?:" + "|".join(sorted({t[1:] for t in _GENDERS}, key=len, reverse=True)) + r")\b")
 
 
 def luhn_digit(digits: str) -> str:
@@ -77,8 +82,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         if right and left < at and (text[at - 1].isalnum() or text[at - 1] == "_"):
             found.append((left, right.end(), "email", text[left : right.end()].lower()))
         at = text.find("@", at + 1)
-    if '= "' in text:
-        found += [(*m.span(1), "secret", m[1]) for m in _SECRET.finditer(text)]
+    if _QUOTED.search(text):
+        found += [(*m.span(2), "secret", m[2]) for m in _SECRET.finditer(text)]
     for run in _RUN.finditer(text):
         start = run.start()
         while start and text[start - 1] in "+(":
@@ -91,7 +96,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 found.append((*m.span(), kind, x if kind == "ip" else ("+" if x[0] == "+" else "") + digits))
     if _CUE.search(text):
-        found += [(*m.span(2), "name_" + TITLES[m[1]], m[2]) for m in _TITLED.finditer(text)]
+        found += [(*m.span(2), "name_" + _GENDERS[m[1]], m[2].title() if m[2].isupper() else m[2]) for m in _TITLED.finditer(text)]
     found.sort()
     out: list[tuple[int, int, str, str]] = []
     for e in found:
@@ -198,6 +203,8 @@ class Keyed:
             return "".join(next(digits) if c.isdigit() else c for c in written)
         if kind == "email" and len(surrogate) == len(written):
             return "".join(s.upper() if w.isupper() else s for w, s in zip(written, surrogate, strict=True))
+        if kind.startswith("name") and written.isupper():
+            return surrogate.upper()
         return surrogate
 
 

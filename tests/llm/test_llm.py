@@ -233,6 +233,19 @@ def test_surrogates(spark):
     assert surrogates.luhn_digit(c[:-1]) == c[-1] and c[0] == "4"
 
 
+def test_surrogates_in_capitals_and_other_spellings(spark):
+    text = 'Mr. Robert Miller, AB.30@mail1.example.com, +1 (961) 555-6946, token = "99168226c4d3cee7e953", Frau Schmidt'
+    secret = "99168226c4d3cee7e953"
+    others = [f'token="{secret}"', f'Token: "{secret}"', f"API_KEY='{secret}'", f'{{"password" : "{secret}"}}', f"secret =\t'{secret}'"]
+    rows = [(1, text), (2, text.upper()), *enumerate(others, 3), (9, "I miss London, a key = value and sir names")]
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [e.kind for e in got[2].entities] == [e.kind for e in got[1].entities] == ["name_m", "email", "phone", "secret", "name_f"]
+    names = [[r.text.split(", ")[0], r.text.split(", ")[4]] for r in (got[1], got[2])]
+    assert [x.upper() for x in names[0]] == names[1] and "MILLER" not in got[2].text and secret.upper() not in got[2].text
+    assert all([e.kind for e in got[i].entities] == ["secret"] and secret not in got[i].text for i in range(3, 8))
+    assert got[9].text == rows[-1][1] and not got[9].entities
+
+
 def test_licenses(spark):
     rows = [(1, "Some words.\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0."), (3, "The driver showed a license at the border."), (4, None), (5, ""), (6, "All rights reserved.\nmore")]
     got = {r.doc_id: [(x.line, x.family, x.confirmed) for x in r.licenses] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
