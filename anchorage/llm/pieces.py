@@ -343,6 +343,13 @@ class Pieces:
                 out = sorted([(a + p[0][0] - p[r][0], (*c, (k, r)) if r else c) for a, c in out for r in range(len(p))])[: self.nbest]
         return ids, [score - a for a, _ in out], [dict(c) for _, c in out]
 
+    def overlays(self, words: list[str], changed: list[dict[int, int]]) -> list[list[dict]]:
+        """For each of the n best what it has in place of the best ids: from ``at`` on ``cut`` ids become ``ids``."""
+        at = {}
+        for k in {k for c in changed for k in c}:
+            at[k] = sum(len(self.words[w][0]) for w in words[:k]) // 4
+        return [[{"at": at[k], "cut": len(self.words[words[k]][0]) // 4, "ids": list(self.paths(words[k])[r][1])} for k, r in sorted(c.items())] for c in changed]
+
     def nbest_ids(self, text: str | None) -> list[tuple[int, list[int]]]:
         """The n best segmentations in full: score in micronats and ids."""
         words = self.prepare([text or ""])[0]
@@ -383,10 +390,24 @@ _RUNS = re.compile(" +[^ ]*")
 _IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
+#: The n best as overlays of the best ids, in Arrow.
+_OVERLAYS = pa.list_(pa.list_(pa.struct([("at", pa.int32()), ("cut", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+
+
+def overlaid(ids: list[int], changes: list) -> list[int]:
+    """The ids of one of the n best: the best ids with its changes, which are in order."""
+    out, last = [], 0
+    for c in changes:
+        out += [*ids[last : c["at"]], *c["ids"]]
+        last = c["at"] + c["cut"]
+    return [*out, *ids[last:]]
+
+
 def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, *keep, ids, n_pieces, score, nbest_scores, round_trip``.
+    """One row per input row: ``doc_id, *keep, ids, n_pieces, score, nbest_scores, nbest_changes, round_trip``.
 
-    ``score`` and ``nbest_scores`` are log-probabilities; fewer than nbest if a text has fewer
+    ``nbest_changes`` has for each of the n best what it changes in ``ids`` (nothing for the
+    best itself): ``overlaid`` and ``decoded(rank=...)`` give it in full. ``score`` and ``nbest_scores`` are log-probabilities; fewer than nbest if a text has fewer
     segmentations. ``round_trip``: every one of the n best decodes to the text. Null and empty
     texts have no pieces and one segmentation of score 0. Equal rows get equal results.
     The model file is read by the driver and broadcast (half a MB).
@@ -405,28 +426,32 @@ def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str =
                 ends = np.cumsum([0, *[len(d[0]) for d in done]])
                 flat = np.concatenate([d[0] for d in done])
                 spelled = pieces.spelled(flat, ends)
+                over = [pieces.overlays(w, d[2]) for w, d in zip(split, done, strict=True)]
                 trips = []
-                for t, s, w, d in zip(texts, spelled, split, done, strict=True):
-                    ok = s == t  # the other paths differ in a few words only
-                    trips.append(ok and all(_spell(pieces, pieces.paths(w[k])[r][1]) == _spell(pieces, pieces.paths(w[k])[0][1]) for c in d[2][1:] for k, r in c.items()))
-                cols = [part.column(k) for k in range(len(names) - 5)]
+                for t, s, o, d in zip(texts, spelled, over, done, strict=True):
+                    # Texts are their ids' bytes one after the other, so it is enough to decode what changes.
+                    trips.append(s == t and all(_spell(pieces, x["ids"]) == _spell(pieces, d[0][x["at"] : x["at"] + x["cut"]].tolist()) for c in o for x in c))
+                cols = [part.column(k) for k in range(len(names) - 6)]
                 scores = [[x / 1e6 for x in d[1]] for d in done]
-                cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int32()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(trips, pa.bool_())]
+                cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int32()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(over, _OVERLAYS), pa.array(trips, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = df.select(doc_id, *keep, df[text].alias("text")) if text not in keep else df.select(doc_id, *keep)
     kinds = dict(df.dtypes)
-    names = [doc_id, *keep, "ids", "n_pieces", "score", "nbest_scores", "round_trip"]
+    names = [doc_id, *keep, "ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "round_trip"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (doc_id, *keep))
-    return rows.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, round_trip boolean")
+    return rows.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, nbest_changes array<array<struct<at:int,cut:int,ids:array<int>>>>, round_trip boolean")
 
 
-def _spell(pieces: Pieces, ids: tuple[int, ...]) -> bytes:
+def _spell(pieces: Pieces, ids: list[int]) -> bytes:
     return b"".join(map(pieces.bytes.__getitem__, ids))
 
 
-def decoded(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text") -> DataFrame:
-    """df with the text of its ids; null ids give a null text."""
+def decoded(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text", rank: int = 0, changes: str = "nbest_changes") -> DataFrame:
+    """df with the text of its ids, or of the segmentation of another rank of the n best.
+
+    Null ids give a null text, and so does a rank that a row doesn't have.
+    """
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     at, names = df.columns.index(ids), [*df.columns, to]
@@ -434,7 +459,10 @@ def decoded(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, 1)
         for b in batches:
-            texts = [None if x is None else pieces.decode(x) for x in b.column(at).to_pylist()]
+            every = b.column(at).to_pylist()
+            if rank:
+                every = [None if x is None or c is None or rank >= len(c) else overlaid(x, c[rank]) for x, c in zip(every, b.column(names.index(changes)).to_pylist(), strict=True)]
+            texts = [None if x is None else pieces.decode(x) for x in every]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each row's best segmentation, the n-best scores and the round trip's result."""
+    """Piece ids of each row's best segmentation, the n-best scores and changes, and the round trip's result."""
     return pieces.encoded(docs, keep=("lang", "source"))
 
 

@@ -187,6 +187,21 @@ def test_pieces(docs):
     assert sorted(r.text for r in texts) == sorted(t or "" for _, t, _ in ROWS)
 
 
+@pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no tokenizer files")
+def test_pieces_of_all_ranks(spark, docs):
+    """The query's rows give every one of the n best, and each decodes to the text."""
+    with open(pieces.MODEL, "rb") as f:
+        p = pieces.Pieces(f.read())
+    more = spark.createDataFrame([(20, "the the inin enen 中ç", "d"), (21, "a▁b  new▁ ▁▁ x", "d"), (22, " twice twice", "d")], DOCS)
+    rows = pieces.encoded(docs.unionByName(more), keep=("text",))
+    for r in rows.collect():
+        want = p.nbest_ids(r.text)
+        assert [pieces.overlaid(r.ids, c) for c in r.nbest_changes] == [i for _, i in want] and len(r.nbest_scores) == len(want)
+    for rank in range(1, 4):
+        for r in pieces.decoded(rows, to="again", rank=rank).collect():
+            assert r.again == ((r.text or "") if rank < len(r.nbest_scores) else None)
+
+
 def test_digests(spark, none):
     rows = [(3, "third text " * 30), (1, "first one, " * 40), (2, None), (7, "the last of all " * 20), (7, "tie")]
     got = digests.edits(spark.createDataFrame(rows, "doc_id bigint, text string"), parts=3).collect()
