@@ -52,6 +52,14 @@ def test_fingerprints_compose(spark):
     assert exact_dedup.same_stream("a b" * 99_999, "ab " * 99_999) and not exact_dedup.same_stream("ab", "abc")
 
 
+def test_jaccard_of_odd_texts(spark):
+    """A text of megabytes and its copy, null ids, string ids."""
+    long = " ".join(f"w{k}" for k in range(300_000))
+    rows = [("a", long), ("b", long + " end"), (None, "one two three four five six"), (None, "one two three four five six"), ("c", "!?")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.links) for r in jaccard_join.classes(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("None", "None", 1), ("None", "None", 1), ("a", "a", 1), ("b", "a", 1), ("c", "c", 0)]
+
+
 def test_jaccard_against_all_pairs(spark, none):
     rng = random.Random(3)
     base = [[f"t{rng.randrange(400)}" for _ in range(rng.randrange(5, 120))] for _ in range(60)]
@@ -77,16 +85,79 @@ def test_jaccard_against_all_pairs(spark, none):
     assert jaccard_join.classes(none).count() == 0
 
 
-def test_jaccard_large_leaf(spark, monkeypatch):
-    """Hundreds of near copies: more than a block, each linked with all others."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
-    rows = [(i, PROSE.replace("w30", f"v{i}")) for i in range(300)]
-    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert {r.class_id for r in got} == {0} and sum(r.links for r in got) >= 0.9999 * 300 * 299
-    assert jaccard_join.runs_for(0.999) >= 5
+def components_of(rows, threshold=0.8):
+    """Classes by all pairs: for each text's place the least place of its class."""
+    sets = [frozenset(jaccard_join.shingles(x).tolist()) for x in rows]
+    root = list(range(len(rows)))
 
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-def test_jaccard_links_of_a_leaf_stay_connected():
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]):
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+    return [top(i) for i in range(len(rows))]
+
+
+def edited_copies(rng, words, copies, most, name):
+    out = []
+    for i in range(copies):
+        w = list(words)
+        for _ in range(rng.randrange(most + 1)):
+            w[rng.randrange(len(w))] = f"{name}{i}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("few", "deepest"), [(16, 16), (1, 8), (1, 4)])
+def test_jaccard_large_buckets(spark, monkeypatch, few, deepest):
+    """Near copies beyond a block, strays that share most of their text, and chains between groups:
+    classes as by all pairs, whether strays meet all blocks, buckets are split, or blocks meet in pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "DEEPEST", deepest)
+    rng = random.Random(9)
+    words = [f"p{k}" for k in range(120)]
+    rows = edited_copies(rng, words, 150, 2, "v")  # around one original
+    rows += edited_copies(rng, words[:80] + [f"q{k}" for k in range(40)], 60, 2, "u")  # shares much with it, is not linked
+    chain = list(words)
+    for step in range(12):  # leads away from the original, link by link
+        chain[step * 5] = f"c{step}"
+        rows.append(" ".join(chain))
+    rows += [" ".join(words[:60] + [f"s{k}w{i}" for i in range(60)]) for k in range(40)]  # a passage that strays share
+    got = {r.doc_id: r for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    want = components_of(rows)
+    assert [got[i].class_id for i in range(len(rows))] == want
+    assert all((got[i].links > 0) == (want.count(want[i]) > 1) for i in got)
+
+
+def test_jaccard_rows_grow_with_the_sets(spark, monkeypatch):
+    """20,000 near copies in one bucket, with some strays: about two rows a set, in groups of a block."""
+    monkeypatch.setattr(jaccard_join, "DEPTH", 1)
+    n = 20_000
+    sets = spark.range(n).select(F.col("id").alias("sid"), F.expr("unhex(repeat('00', 256))").alias("mh"))
+    roots = sets.select("sid", F.when(F.col("sid") < n - 100, F.lit(0)).otherwise(F.col("sid")).cast("bigint").alias("root"))
+    large = sets.select(F.lit(7).cast("bigint").alias("path"), "sid")
+    groups = jaccard_join._open(large, sets, roots, jaccard_join.Scratch(spark)).groupBy("gid").agg(F.count("*").alias("n"))
+    r = groups.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    assert n <= r.rows <= 2 * n and r.most <= 1.5 * jaccard_join.BLOCK
+    same = roots.select("sid", F.lit(0).cast("bigint").alias("root"))
+    assert jaccard_join._open(large, sets, same, jaccard_join.Scratch(spark)).count() == 0
+
+
+def test_jaccard_recall_is_averaged_over_sketches():
+    runs = jaccard_join.runs_for(0.999)
+    rng = np.random.default_rng(1)
+    agree = rng.binomial(64, 0.8, 200_000) / 64
+    missed = np.mean([(1 - jaccard_join.survival(jaccard_join.DEPTH, a)) ** runs for a in np.unique(agree) for _ in range(int((agree == a).sum()))])
+    assert missed <= 0.0013 and jaccard_join.runs_for(0.9999) > runs >= 5
+    assert jaccard_join.screen_for(0.8) >= 30 > jaccard_join.screen_for(0.6) > jaccard_join.screen_for(0.3)
+
+
+def test_jaccard_links_of_a_group_stay_connected():
     """A star of two pairs and a chain: the least neighbours alone would cut both."""
     star, chain = [(1, 2), (3, 4), (5, 1), (5, 2), (5, 3), (5, 4)], [(1, 3), (3, 5), (5, 2)]
     for links in (star, chain):
@@ -97,9 +168,24 @@ def test_jaccard_links_of_a_leaf_stay_connected():
             sets[a] += shared
             sets[b] += shared
         packed = [np.array(sorted(sets[s]), np.uint64).tobytes() for s in sids]
-        got = jaccard_join._linked(sids, [1] * len(sids), [[7]] * len(sids), packed, 7, np.ones(len(sids), bool), True, 0.12)
-        assert {s: r[0] for s, r in got.items()} == {s: sum(s in pair for pair in links) for s in sids}
-        assert {s: r[2] for s, r in got.items()} == dict.fromkeys(sids, 1)
+        counts, edges = jaccard_join._linked(sids, sids, [1] * len(sids), [[7]] * len(sids), packed, 7, 0.12)
+        assert list(counts) == [sum(s in pair for pair in links) for s in sids]
+        assert len(edges) == len(sids) - 1 and all(tuple(sorted(e)) in {tuple(sorted(x)) for x in links} for e in edges)
+        counts, edges = jaccard_join._linked(sids, [0] * len(sids), [1] * len(sids), [[7]] * len(sids), packed, 7, 0.12)
+        assert not counts.any() and not edges
+        counts, _ = jaccard_join._linked(sids, sids, [1] * len(sids), [[3, 7]] * len(sids), packed, 7, 0.12)
+        assert not counts.any()  # counted in the group 3
+
+
+def test_one_of_each_class_stays_by_row(spark, none):
+    """Repeated and null ids: no text is lost that is like no other, and one row of each class stays."""
+    near, other = PROSE + " more", " ".join(f"z{k}" for k in range(50))
+    rows = [(1, PROSE, "a"), (2, near, "a"), (2, other, "a"), (2, other, "b"), (None, near + " x", "c"), (None, "alone " * 9 + "here", "c"), (7, "", "d"), (7, None, "d"), (8, PROSE, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, th string").withColumn("row", F.lit(1)).withColumn("id", F.lit("x"))
+    got = jaccard_join.keep_one_each(df)
+    assert got.columns == df.columns and jaccard_join.keep_one_each(none).count() == 0
+    texts = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got.collect())
+    assert texts == [(False, 1, PROSE), (False, 2, other), (False, 7, ""), (False, 7, ""), (True, 0, "alone " * 9 + "here")]
 
 
 def test_jaccard_classes_of_stars(spark):
