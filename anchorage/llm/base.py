@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -20,66 +18,51 @@ BLANK_BYTES = BLANKS.encode()
 #: A key bitmap has at most so many bits (16 MiB), whatever the number of keys.
 MAX_BITMAP_BITS = 1 << 27
 
-_made: list[tuple[SparkSession, str]] = []
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset a local session gets a temporary folder; on a cluster that is an error,
-    because executors would not see each other's files.
-    """
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder in the
+    warehouse, which they share too, where a session has none."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not (known := [d for s, d in _made if d.startswith("local:") and s is spark]):
-        _made.append((spark, "local:" + tempfile.mkdtemp(prefix="anchorage-")))
-        known = [_made[-1][1]]
-    return "file://" + known[-1].removeprefix("local:")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has ended; nothing is left to do
-        pass
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/anchorage"
 
 
-def _delete_all() -> None:
-    for spark, path in _made:
-        _delete(spark, path.removeprefix("local:"))
-
-
-atexit.register(_delete_all)
+def _path(spark: SparkSession, path: str):
+    """A path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 class Scratch:
     """Parquet tables in the shared folder that cut lineage and survive lost executors.
 
     ``save`` writes and rereads; ``drop`` deletes tables that no later result reads. What is
-    left goes when the program ends.
+    left goes when the driver's JVM ends, also where the session has been stopped before.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/anchorage-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
-        _made.append((spark, self.root))
+    def __init__(self, spark: SparkSession, name: str = "anchorage"):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        p, system = _path(spark, self.root)
+        system.mkdirs(p)
+        system.deleteOnExit(p)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            _delete(self.spark, df._scratch_path)
+            p, system = _path(self.spark, df._scratch_path)
+            system.delete(p, True)
+
+
+def without(df: DataFrame, *results: str) -> DataFrame:
+    """df without columns that have the name of a result, in any case: they give way to it."""
+    names = {r.lower() for r in results}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

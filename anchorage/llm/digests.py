@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents
+from .base import Scratch, documents, without
 
 BUCKETS = 256
 #: Offsets of a triplet's bytes behind the newest byte of the window.
@@ -29,6 +29,8 @@ FAR, LENGTH_STEP, RATIO_STEP = 6, 12, 2
 #: or 2 that sum to 14, and 2 of distance 3.
 UNRELATED = BUCKETS * (6 * 1 + 4 * 2 + 2 * FAR) / 16
 BLOCK = 1 << 20
+#: Bytes of text in a range of documents, on average.
+PART = 32 << 20
 
 _pairs = np.arange(1 << 16, dtype=np.uint32)
 _pairs = ((_pairs * np.uint32(0x9E3779B1)) >> np.uint32(8)).astype(np.uint16)
@@ -82,7 +84,9 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(df: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
-    """df with each whole text's fingerprint; null counts as empty."""
+    """df with each whole text's fingerprint; null counts as empty, repeated rows get equal ones, an
+    empty table gives no rows, and a column of df named as the result gives way to it."""
+    df = without(df, to)
     at, names = df.columns.index(text), [*df.columns, to]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,63 +105,87 @@ def edited(text: str, following: str) -> str:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by range and, in it, by order; a row is compared with the one that follows it."""
+    """Each row of a part, in order, compared with the next one. The last one's line is open; it and
+    the first one come with their texts, the first one's line as ``first``."""
     out: list[tuple] = []
-    held = None  # (part, id, tail, text, fingerprint)
+    held = None  # (part, id, text, fingerprint)
 
     def flush() -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [[]] * len(_NAMES)
+        cols = list(zip(*out, strict=True)) or [[]] * len(_SCHEMA)
         out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, _KINDS, strict=True)], _NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type if f.name != "doc_id" else id_type) for c, f in zip(cols, _SCHEMA, strict=True)], _SCHEMA.names)
 
+    id_type = None
     for b in batches:
-        for part, doc, tail, t in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("tail").to_pylist(), b.column("text"), strict=True):
-            if tail and held and held[0] == part and held[2]:
-                continue  # of rows alike in id only the first follows
+        id_type = b.schema.field("id").type
+        for part, doc, t in zip(b.column("part").to_pylist(), b.column("id").to_pylist(), b.column("text"), strict=True):
             text = t.as_py() or ""
             print_ = fingerprint(text.encode("utf-8", "surrogatepass"))
-            if held and held[0] == part and not held[2]:
-                new = edited(held[3], text).encode("utf-8", "surrogatepass")
-                its = fingerprint(new)
-                out.append((held[1], len(held[3]), hashlib.sha256(new).hexdigest(), held[4], its, likeness(held[4], its), likeness(held[4], print_)))
-            held = (part, doc, tail, text, print_)
+            if held:
+                out.append((*_line(held[1], held[2], held[3], text, print_), held[0], None, None))
+            else:
+                out.append((None, None, None, print_, None, None, None, part, text, True))
+            held = (part, doc, text, print_)
             if len(out) >= 1000:
                 yield flush()
-    yield flush()
+    if held:
+        out.append((held[1], None, None, held[3], None, None, None, held[0], held[2], False))
+        yield flush()
 
 
-_NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+def _line(doc, text: str, own: str, following: str, its: str) -> tuple:
+    """A document's result, given the next one and both fingerprints."""
+    new = edited(text, following).encode("utf-8", "surrogatepass")
+    print_ = fingerprint(new)
+    return doc, len(text), hashlib.sha256(new).hexdigest(), own, print_, likeness(own, print_), likeness(own, its)
 
 
-def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
-    """Each document's fingerprint against its edited text's and the next document's.
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open lines with the first row of the part that follows."""
+    for b in batches:
+        out = [_line(*row) for row in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")], strict=True)]
+        cols = list(zip(*out, strict=True)) or [[]] * 7
+        kinds = [b.schema.field("doc_id").type, *[f.type for f in _SCHEMA][1:7]]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], _SCHEMA.names[:7])
+
 
-    Documents are dealt once, by ranges of ids whose bounds are quantiles of the id column alone;
-    the first document of a range goes to the range before it too, the very first to the last.
-    Order: id, then a hash of the text; null ids come last. Null text is empty; a lone document
-    is its own next one. An empty table gives no rows.
+_SCHEMA = pa.schema([
+    ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+    ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("text", pa.string()), ("first", pa.bool_()),
+])
+_RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def edits(df: DataFrame, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
+    """Each document's fingerprint against its edited text's and the next document's: ``doc_id,
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+
+    Order: id, then a hash of the text, null ids last; rows alike in both are next to each other,
+    those of many tasks too. Documents move once, by ranges of that order of about PART bytes;
+    each row is compared with the next one of its range, and only the first and last row of each
+    range wait for the range that follows, the very last for the very first. Null text is empty;
+    very long texts are whole; a lone document is its own next one. Other columns than the two
+    are not read. An empty table gives no rows.
     """
     spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = df.select(F.col(doc_id).alias("id"))
-    cuts = ids.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    bounds = F.array(*[F.lit(int(c)) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    # A range takes the ids above its lower bound; a null id is above all.
-    part = F.size(F.filter(bounds, lambda c: F.coalesce(F.col("id") > c, F.lit(True)))).cast("int")
-    firsts = ids.select("id", part.alias("part")).groupBy("part").agg(F.min("id").alias("id")).collect()  # one row a range
-    firsts = sorted((r.part, r.id) for r in firsts)
-    before = {p: (firsts[k - 1][0]) for k, (p, _) in enumerate(firsts)}
-    if not firsts:
-        return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("part", part)
-    lead = F.array(*[F.lit(i).cast("bigint") for _, i in firsts])
-    back = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    is_first = F.coalesce(F.array_contains(lead, F.col("id")), F.lit(False)) | (F.col("id").isNull() & F.lit(any(i is None for _, i in firsts)))
-    places = F.when(is_first, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail")), F.struct(back[F.col("part")].alias("part"), F.lit(True).alias("tail")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))))
-    rows = rows.withColumn("place", F.explode(places)).select("id", "text", F.xxhash64("text").alias("tie"), "place.part", "place.tail")
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "tail", F.col("id").asc_nulls_last(), "tie")
-    return dealt.mapInArrow(_compared, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("doc_id", doc_id)
+    scratch = Scratch(spark)
+    if not parts:
+        size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, -(-size // PART))
+    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie"))
+    order = [F.col("id").asc_nulls_last(), F.col("tie").asc()]
+    # The place that a row was read at parts equal rows.
+    dealt = rows.repartitionByRange(parts, *order, F.spark_partition_id()).sortWithinPartitions(*order)
+    kind = dict(rows.dtypes)["id"]
+    lines = scratch.save(dealt.select("id", "text", F.spark_partition_id().alias("part")).mapInArrow(_compared, f"doc_id {kind}, {_RESULT}, part int, text string, first boolean"))
+    names = ["doc_id", *[c.split(" ")[0] for c in _RESULT.split(", ")]]
+    ends = lines.where("first is not null")
+    found = [r.part for r in ends.where("first").select("part").orderBy("part").collect()]  # one number a range
+    follows = spark.createDataFrame([(p, found[(k + 1) % len(found)]) for k, p in enumerate(found)], "part int, next int")
+    lead = ends.where("first").select(F.col("part").alias("next"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
+    last = ends.where("not first").join(follows, "part").join(lead, "next").select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint")
+    closed = last.mapInArrow(_closed, f"doc_id {kind}, {_RESULT}")
+    return lines.where("first is null").select(*names).unionByName(closed).withColumnRenamed("doc_id", doc_id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

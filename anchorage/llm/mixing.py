@@ -21,6 +21,8 @@ MOST = 3
 BUCKETS = 1 << 16
 TURNS, CLOSE = 60, 1e-10
 SETTLING = 6
+#: Rows of a repeated key that are numbered in one task.
+SHARE = 10_000
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -93,9 +95,9 @@ def _small(df: DataFrame) -> bool:
 
 def _bucket(turn: int, gap: Column, most: int) -> Column:
     """The hash bucket of a document that may change by a copy in this turn; else null."""
-    able = (F.col("size") > 0) & (F.col("size") <= F.greatest(F.abs(gap) / 2, F.lit(1.0))) & (F.abs(gap) >= 1)
+    able = (F.col("size") > 0) & (F.col("size") <= F.greatest(F.abs(gap) / (2 if turn < SETTLING // 2 else 1), F.lit(1.0))) & (F.abs(gap) >= 1)
     able = able & F.when(gap > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
-    return F.when(able, F.pmod(F.xxhash64(F.lit(turn), "doc_id", "size"), F.lit(BUCKETS)).cast("int"))
+    return F.when(able, F.pmod(F.xxhash64(F.lit(turn), "key", "rank"), F.lit(BUCKETS)).cast("int"))
 
 
 def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int) -> DataFrame:
@@ -104,7 +106,7 @@ def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int) -> DataF
     out = rows.join(F.broadcast(params) if _small(params) else params, "sk")
     tilted = F.when(F.col("goal") >= most * F.col("source_size"), float(most)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), most))
     out = out.withColumn("rate", F.when(F.col("size") > 0, tilted).otherwise(0.0))
-    unit = F.pmod(F.xxhash64(F.lit(11), "doc_id", "size"), F.lit(1 << 40)) / float(1 << 40)
+    unit = F.pmod(F.xxhash64(F.lit(11), "key", "rank"), F.lit(1 << 40)) / float(1 << 40)
     out = out.withColumn("copies", F.least(F.lit(most), F.floor(F.col("rate") + unit).cast("int")))
     for t in range(turns):
         gap = F.col("gaps")[t]
@@ -116,8 +118,9 @@ def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int) -> DataF
 def _settle(rows: DataFrame, params: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """Adds to params what each turn of settling needs: a source's gap and the bucket to stop at.
 
-    In a turn, documents of at most half the gap lie in hash buckets; buckets are taken in order
-    while their sum stays within the gap. What is left is less than the next bucket.
+    In a turn, documents of at most half the gap, later of at most the gap, lie in hash buckets;
+    buckets are taken in order while their sum stays within the gap. What is left is less than
+    the next bucket.
     """
     params = params.withColumns({"gaps": F.array().cast("array<double>"), "cuts": F.array().cast("array<int>")})
     params = scratch.save(params)
@@ -140,40 +143,66 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     """One row per input row: ``doc_id, size, source_size, target, taken, copies, rate, source``.
 
     Null sources are one source, ranked last; null text has no words; a document without words
-    gets no copies. Rows that are alike in id, size and source get as many copies each.
-    An empty table gives no rows.
+    gets no copies. Ids may be null or repeat; rows alike in id, text and source are numbered, so
+    they share their copies and a rerun gives the same rows. Other columns than the three are not
+    read. An empty table gives no rows.
     """
-    rows, params, scratch = _planned(df, doc_id, text, source, weights, most)
+    rows, params, _ = _planned(df, doc_id, text, source, weights, most)
     out = _decided(rows, params, most, SETTLING)
     return out.select(F.col("doc_id").alias(doc_id), "size", "source_size", F.col("goal").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", F.col("source").alias(source))
 
 
 def _thin(df: DataFrame, doc_id: str, text: str, source: str, keep: list[str]) -> DataFrame:
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
-    return df.select(*keep, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _source_key(F.col(source)).alias("sk"))
+    key = F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id), F.col(text), _source_key(F.col(source)))
+    return df.select(*keep, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _source_key(F.col(source)).alias("sk"), key.alias("key"))
+
+
+def _ranked(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Rows with ``rank``: 0, and 0, 1, ... without gaps among the rows of a repeated key.
+
+    Which of them gets which number doesn't matter, as they are alike. Keys with many rows are
+    numbered in parts of SHARE rows or so, behind the sizes of the parts before.
+    """
+    if repeated.isEmpty():
+        return rows.withColumn("rank", F.lit(0).cast("bigint"))
+    alone = rows.join(repeated, "key", "left_anti").withColumn("rank", F.lit(0).cast("bigint"))
+    many = rows.withColumn("at", F.monotonically_increasing_id()).join(repeated, "key")
+    many = many.withColumn("part", F.pmod(F.xxhash64("at"), F.ceil(F.col("rows") / SHARE)).cast("int"))
+    sizes = many.groupBy("key", "part").agg(F.count("*").alias("n"))  # a row a SHARE
+    before = F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("key", "part").orderBy("at"))
+    many = many.withColumn("within", within).join(sizes.select("key", "part", before.alias("before")), ["key", "part"])
+    many = many.withColumn("rank", (F.col("before") + F.col("within") - 1).cast("bigint"))
+    return alone.unionByName(many.drop("at", "rows", "part", "within", "before"))
 
 
 def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, Scratch]:
-    """The thin rows and one line of parameters a source."""
+def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The thin rows, one line of parameters a source, and keys that several rows have."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.save(_thin(df, doc_id, text, source, []))
+    repeated = scratch.save(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
+    if not repeated.isEmpty():
+        rows = scratch.save(_ranked(rows, repeated))
+    else:
+        rows = _ranked(rows, repeated)
     hist = scratch.save(rows.groupBy("source", "sk", "size").agg(F.count("*").alias("docs")))
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     goals = scratch.save(targets(sources, weights, most).withColumn("sk", _source_key(F.col("source"))))
     lam = _solve(hist.where("size > 0").drop("source"), goals.where("source_size > 0").drop("source"), float(most), scratch)
     params = goals.select("sk", "source_size", F.col("target").alias("goal")).join(lam, "sk", "left")
-    return rows, _settle(rows, params, most, scratch), scratch
+    return rows, _settle(rows, params, most, scratch), repeated
 
 
 def mixed_documents(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """df's rows as often as the mix takes them, with df's columns; a document without words once."""
-    _, params, _ = _planned(df, doc_id, text, source, weights, most)
-    row = F.struct(*[F.col(c) for c in df.columns]).alias("row")
-    out = _decided(_thin(df, doc_id, text, source, [row]), params, most, SETTLING)
+    _, params, repeated = _planned(df, doc_id, text, source, weights, most)
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    out = _decided(_ranked(_thin(df, doc_id, text, source, [row]), repeated), params, most, SETTLING)
     copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
     return out.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")
 

@@ -28,6 +28,11 @@ def sides(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
+def _div(x: Column, by: int) -> Column:
+    """Whole division of longs; ``/`` would go through doubles."""
+    return F.call_function("div", x.cast("bigint"), F.lit(by).cast("bigint"))
+
+
 def _once(x: Column, a: int, b: int, key: int, rounds: int) -> Column:
     """One pass of the network over 0 .. a*b-1: halves are added to in turn, mod a and mod b."""
 
@@ -39,9 +44,7 @@ def _once(x: Column, a: int, b: int, key: int, rounds: int) -> Column:
         right = F.pmod(s.r + F.pmod(F.xxhash64(F.lit(key), r, F.lit(1), s.l), F.lit(b)), F.lit(b))
         return F.struct(s.l.alias("l"), right.cast("bigint").alias("r"))
 
-    start = F.struct(F.floor(x / b).cast("bigint").alias("l"), (x % b).cast("bigint").alias("r"))
-    if a * b >= 1 << 52:  # beyond exact doubles
-        start = F.struct(((x - x % b) / b).cast("decimal(38,0)").cast("bigint").alias("l"), (x % b).cast("bigint").alias("r"))
+    start = F.struct(_div(x, b).alias("l"), (x % b).cast("bigint").alias("r"))
     state = F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, lambda s, i: F.when(i % 2 == 0, turn(s, i)).otherwise(other(s, i)))
     return F.transform(F.array(state), lambda s: s.l * F.lit(b).cast("bigint") + s.r)[0]
 
@@ -91,7 +94,8 @@ def shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int
     """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard, number``.
 
     Order: id (null last), then CRC, then size; rows alike in all three are interchangeable, so
-    the result is reproducible. Null text has no bytes. An empty table gives no rows.
+    the result is reproducible. Null text has no bytes; very long texts are read where they lie
+    and don't move. Other columns than the two are not read. An empty table gives no rows.
     """
     bytes_ = F.coalesce(F.col(text), F.lit("")).cast("binary")
     thin = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(bytes_) + 16).cast("bigint").alias("size"), F.crc32(bytes_).alias("text_crc32"))
@@ -104,7 +108,7 @@ def shards(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int
         "text_crc32",
         F.lit("rows").alias("law"),
         (F.col("place") % count).cast("int").alias("shard"),
-        F.floor(F.col("place") / count).cast("bigint").alias("slot"),
+        _div(F.col("place"), count).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "number",
     )

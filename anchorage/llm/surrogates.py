@@ -4,8 +4,9 @@ Detected entities (e-mail, IP address, card, phone, account number, secret, titl
 replaced by keyed permutations of their own format. With a keyed bijection E on the strings of
 a format, an entity x becomes ``E^-1(E(x) + c)`` for a keyed c that is not 0: a bijection again,
 so distinct entities keep distinct surrogates, and without fixed points. The same entity has the
-same surrogate everywhere (coreference). Names draw from pools by gender and script; what a
-pool or an attempt lets collide is found by a count over all distinct entities and dealt anew.
+same surrogate everywhere (coreference). First names are dealt within pools by gender and
+script, other names letter by letter and never into a pool. What collides all the same is found
+by a count over all distinct entities and dealt anew.
 """
 
 from __future__ import annotations
@@ -13,16 +14,22 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, documents
+from .base import Scratch, documents, without
 
-#: Rounds of re-dealing before giving up, and the most exceptions that are broadcast.
-ATTEMPTS, MOST_EXCEPTIONS = 20, 1_000_000
+#: Attempts that keep an entity's format; later ones draw longer words, which end every collision.
+ATTEMPTS = 3
+#: Entities that need another attempt than the first and are broadcast; more of them are an error.
+MOST_EXCEPTIONS = 1_000_000
+#: The key of the registered query, whose tables are made. Callers of ``replaced`` give their own, in secret.
+QUERY_KEY = b"key of the query on made tables"
 
 #: Titles that announce a name, with the name's gender; and first names by gender and script (fixed values).
 TITLES = {
@@ -36,11 +43,16 @@ FIRST_NAMES = {
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"],
 }
 
-_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё"
+def _letters(category: str) -> str:
+    """Latin, Greek and Cyrillic letters beyond ASCII."""
+    return "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530)]) if unicodedata.category(c) == category)
+
+
+_UP, _LOW = "A-Z" + _letters("Lu"), "a-z" + _letters("Ll")
 _NAME = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)?"
 #: What stands left of an @, and right of it.
 _LOCAL = re.compile(r"[\w.+-]*\w\Z")
-_DOMAIN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*?\.[A-Za-z]{2,}(?![A-Za-z0-9-]|\.[A-Za-z0-9])")
+_DOMAIN = re.compile(r"[^\W_](?:(?:[^\W_]|-)*[^\W_])?(?:\.[^\W_](?:(?:[^\W_]|-)*[^\W_])?)*?\.[^\W\d_]{2,}(?![^\W_]|-|\.[^\W_])")
 _SECRET = re.compile(r"(?:token|secret|api_key|password|key)[\"']?[ \t]*[=:][ \t]*([\"'])([A-Za-z0-9_+/=-]{16,})\1", re.IGNORECASE)
 #: What each secret holds; a search for it is fast.
 _QUOTED = re.compile(r"[=:][ \t]*[\"'][A-Za-z0-9_+/=-]{16}")
@@ -96,7 +108,13 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 found.append((*m.span(), kind, x if kind == "ip" else ("+" if x[0] == "+" else "") + digits))
     if _CUE.search(text):
-        found += [(*m.span(2), "name_" + _GENDERS[m[1]], m[2].title() if m[2].isupper() else m[2]) for m in _TITLED.finditer(text)]
+        names = [(*m.span(2), "name_" + _GENDERS[m[1]], m[2].title() if m[2].isupper() else m[2]) for m in _TITLED.finditer(text)]
+        found += names
+        # The same person without a title: the whole name again, as it was written.
+        for written, kind, canonical in sorted({(text[a:b], k, c) for a, b, k, c in names if " " in c}):
+            again = [m.span() for m in re.finditer(rf"\b{re.escape(written)}(?!\w)", text)]
+            taken = {(a, b) for a, b, _, _ in names}
+            found += [(a, b, kind, canonical) for a, b in again if (a, b) not in taken]
     found.sort()
     out: list[tuple[int, int, str, str]] = []
     for e in found:
@@ -142,13 +160,10 @@ class Keyed:
         """Letters become letters of the same script, case and kind, digits digits; signs stay."""
         x, size, places = 0, 1, []
         for c in s:
-            for name, letters in _ALPHABETS:
-                if c in letters:
-                    x, size = x * len(letters) + letters.index(c), size * len(letters)
-                    places.append(letters)
-                    break
-            else:
-                places.append(c)
+            letters = alphabet(c)
+            if len(letters) > 1:
+                x, size = x * len(letters) + letters.index(c), size * len(letters)
+            places.append(letters)
         y = self.shifted(x, size, f"{tweak}{''.join(p if len(p) == 1 else p[0] for p in places)}")
         out = []
         for p in reversed(places):
@@ -159,8 +174,29 @@ class Keyed:
                 out.append(p[k])
         return "".join(reversed(out))
 
+    def name(self, canonical: str, tweak: str) -> str:
+        """Name by name: a first name within its pool, others by their letters, a first one never into a pool.
+
+        Each is a bijection, so that whole names are dealt by one too, whatever their titles.
+        """
+        names = canonical.split(" ")
+        out = []
+        for k, n in enumerate(names):
+            first = k == 0 and len(names) > 1
+            pool = next((p for p in FIRST_NAMES.values() if n in p), None) if first else None
+            if pool:
+                out.append(pool[self.shifted(pool.index(n), len(pool), tweak + "first")])
+                continue
+            new = self.word(n, tweak)
+            while first and new in _POOLED:  # cycle walking
+                new = self.word(new, tweak)
+            out.append(new)
+        return " ".join(out)
+
     def surrogate(self, kind: str, canonical: str, attempt: int = 0) -> str:
-        t = f"{kind}/{attempt}/"
+        t = f"{'name' if kind.startswith('name') else kind}/{attempt}/"
+        if attempt > ATTEMPTS:
+            return canonical + "".join(alphabet(c)[self.number(t, canonical, k) % len(alphabet(c))] for k, c in enumerate("Xx" + "x" * attempt))
         if kind == "email":
             local, _, domain = canonical.partition("@")
             name, dot, top = domain.rpartition(".")
@@ -186,15 +222,7 @@ class Keyed:
             return plus + rest[:keep] + self.digits(rest[keep:], t + plus + rest[:keep])
         if kind == "ssn":
             return self.digits(canonical, t)
-        if kind.startswith("name"):
-            gender = kind[-1]
-            names = canonical.split(" ")
-            out = []
-            for k, n in enumerate(names):
-                pool = next((p for (g, _), p in FIRST_NAMES.items() if g == gender and n in p), None) if k == 0 and len(names) > 1 else None
-                out.append(pool[self.shifted(pool.index(n), len(pool), t)] if pool else self.word(n, t))
-            return " ".join(out)
-        return self.word(canonical, t)
+        return self.name(canonical, t) if kind.startswith("name") else self.word(canonical, t)
 
     def as_written(self, written: str, kind: str, surrogate: str) -> str:
         """The surrogate in the entity's own format: separators and case as they were."""
@@ -219,12 +247,30 @@ _ALPHABETS = (
 )
 
 
+_LISTED = frozenset("".join(letters for _, letters in _ALPHABETS))
+_POOLED = frozenset(n for p in FIRST_NAMES.values() for n in p)
+
+
+@lru_cache(1 << 16)
+def alphabet(c: str) -> str:
+    """The characters that one changes among: its list above, or for other letters and digits those
+    of the same general category on the same 256 code points; a sign stands alone."""
+    for _, letters in _ALPHABETS:
+        if c in letters:
+            return letters
+    category = unicodedata.category(c)
+    if category[0] != "L" and category != "Nd":
+        return c
+    page = ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(page, page + 256)) if x not in _LISTED and unicodedata.category(x) == category)
+
+
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct ``kind, canonical`` of all texts; entities repeat within a batch only once."""
+    """Distinct ``kind, canonical`` of all texts, names of either gender as ``name``; entities repeat within a batch only once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = sorted({(k, c) for t in b.column(0) if t.is_valid for _, _, k, c in find(t.as_py())})
+            found = sorted({(k.partition("_")[0], c) for t in b.column(0) if t.is_valid for _, _, k, c in find(t.as_py())})
             yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.string()) for j in (0, 1)], ["kind", "canonical"])
 
     return df.select(text).mapInArrow(run, "kind string, canonical string").distinct()
@@ -234,8 +280,9 @@ def exceptions(df: DataFrame, key: bytes, text: str = "text") -> dict[tuple[str,
     """Entities whose first surrogate collides, with the attempt that does not.
 
     The check covers all distinct entities: surrogates are counted, and all but the least entity
-    of each surrogate go to the next attempt, until every surrogate is single. By construction
-    only names can collide.
+    of each surrogate, and entities that are their own, go to the next attempt, until every
+    surrogate is single and new. By construction next to none do, but for entities without a
+    letter or digit that could change. The loop ends: late attempts draw from ever longer words.
     """
     scratch = Scratch(df.sparkSession)
 
@@ -247,30 +294,31 @@ def exceptions(df: DataFrame, key: bytes, text: str = "text") -> dict[tuple[str,
 
     schema = "kind string, canonical string, attempt int, surrogate string"
     dealt = scratch.save(entities(df, text).withColumn("attempt", F.lit(0)).mapInArrow(deal, schema))
-    group = F.substring_index("kind", "_", 1)
-    for _ in range(ATTEMPTS):
-        clash = dealt.groupBy(group.alias("kind0"), "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "kind", "canonical")).alias("first")).where("n > 1")
+    same = F.col("surrogate") == F.col("canonical")
+    while True:
+        clash = dealt.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "canonical")).alias("first")).where("n > 1")
         clash = scratch.save(clash)
-        same = dealt.where((F.col("surrogate") == F.col("canonical")) & group.eqNullSafe("name"))
-        if clash.isEmpty() and same.isEmpty():
+        if clash.isEmpty() and dealt.where(same).isEmpty():
             break
-        joined = dealt.withColumn("kind0", group).join(clash, ["kind0", "surrogate"], "left")
-        again = (F.col("n").isNotNull() & (F.struct("attempt", "kind", "canonical") != F.col("first"))) | ((F.col("surrogate") == F.col("canonical")) & (F.col("kind0") == "name"))
+        joined = dealt.join(clash, ["kind", "surrogate"], "left")
+        again = F.coalesce((F.col("n").isNotNull() & (F.struct("attempt", "canonical") != F.col("first"))) | same, F.lit(False))
         dealt = scratch.save(joined.select("kind", "canonical", (F.col("attempt") + again.cast("int")).alias("attempt")).mapInArrow(deal, schema))
-    else:
-        raise ValueError("surrogates still collide; the formats have too few strings")
     odd = dealt.where("attempt > 0")
     if odd.count() > MOST_EXCEPTIONS:
         raise ValueError("more exceptions than may be broadcast; use another key")
     return {(r.kind, r.canonical): r.attempt for r in odd.select("kind", "canonical", "attempt").collect()}
 
 
-def replaced(df: DataFrame, key: bytes = b"change this key", text: str = "text") -> DataFrame:
+def replaced(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """df with its text rewritten, and ``entities`` (a list of kind, start, end in the old text).
 
-    Whole texts; null stays null, and a text without entities stays as it is. Repeated rows get
-    equal results. Start and end are code points.
+    Who knows the key can undo the surrogates, so there is no default. Whole texts, also very long
+    ones; null stays null, and a text without entities stays as it is. Repeated rows get equal
+    results, and an empty table gives no rows. Start and end are code points. A column of df named
+    ``entities`` gives way to the result. What isn't found is left: names without a title that
+    no titled mention spells out, national phone and account formats beside those above, streets.
     """
+    df = without(df, "entities")
     odd = df.sparkSession.sparkContext.broadcast(exceptions(df, key, text))
     at, names = df.columns.index(text), [*df.columns, "entities"]
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -283,7 +331,7 @@ def replaced(df: DataFrame, key: bytes = b"change this key", text: str = "text")
                 x = t.as_py()
                 out, last, spots = [], 0, []
                 for start, end, kind, canonical in find(x) if x else ():
-                    new = keyed.surrogate(kind, canonical, odd.value.get((kind, canonical), 0))
+                    new = keyed.surrogate(kind, canonical, odd.value.get((kind.partition("_")[0], canonical), 0))
                     out += [x[last:start], keyed.as_written(x[start:end], kind, new)]
                     spots.append({"kind": kind, "start": start, "end": end})
                     last = end
@@ -298,4 +346,4 @@ def replaced(df: DataFrame, key: bytes = b"change this key", text: str = "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replaced(documents(spark, sf_dir).select("doc_id", "text"))
+    return replaced(documents(spark, sf_dir).select("doc_id", "text"), QUERY_KEY)

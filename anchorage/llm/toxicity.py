@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import documents, tidy
+from .base import documents, tidy, without
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are sampled at most, by the hash of their id.
@@ -159,14 +159,14 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
 def graded(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """df with ``severity`` (expected grade, 0 to 3), ``grade`` (likeliest) and ``p_toxic``.
 
-    Whole texts; null and empty texts score as a text without known words. Repeated rows get
-    equal grades. The model, at most MOST_FEATURES words, is broadcast.
+    Whole texts, also very long ones; null and empty texts score as a text without known words.
+    Repeated rows get equal grades, an empty table gives no rows, and columns of df that have the
+    name of a result give way to it. The model, at most MOST_FEATURES words, is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    df = without(df, "severity", "grade", "p_toxic")
     at = df.columns.index(text)
     names = [*df.columns, "severity", "grade", "p_toxic"]
-    if len(set(names)) < len(names):
-        raise ValueError("rename df's columns severity, grade and p_toxic before grading")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -180,9 +180,10 @@ def graded(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that are more likely of grade 0 than not, with docs' columns."""
-    kept = graded(docs, train(docs, labels)).where(F.col("p_toxic") < REJECT)
-    return kept.select(*docs.columns)
+    """Documents that are more likely of grade 0 than not, with docs' columns, whatever their names."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("others")
+    kept = graded(docs.select("text", others), train(docs, labels)).where(F.col("p_toxic") < REJECT)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,6 +217,49 @@ def test_permutation_and_shards(spark, docs, none):
     assert sharding.shards(none).count() == 0
 
 
+def plain_permutation(x, n, key):
+    """The walk in plain integers, with the columns' public hash."""
+    import math
+    import struct
+
+    import xxhash
+
+    a = max(1, math.isqrt(max(n, 1) - 1) + 1)
+    b = max(1, -(-n // a))
+
+    def hashed(*values):  # whole numbers of 4 bytes, the last one of 8, seeds chained from 42
+        h = 42
+        for k, v in enumerate(values):
+            h = xxhash.xxh64_intdigest(struct.pack("<q" if k == len(values) - 1 else "<i", v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    while True:
+        left, right = divmod(x, b)
+        for i in range(16):
+            if i % 2 == 0:
+                left = (left + hashed(key, i, 0, right) % a) % a
+            else:
+                right = (right + hashed(key, i, 1, left) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+def test_shards_of_the_table_in_plain_integers(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    order = sorted((r["doc_id"], zlib.crc32((r["text"] or "").encode()), 16 + len((r["text"] or "").encode())) for r in table)
+    got = {r.doc_id: r for r in sharding.query(spark, sf_dir).collect()}
+    for number, (i, crc, size) in enumerate(order):
+        place = plain_permutation(number, len(order), 0)
+        r = got[i]
+        assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (size, crc, "rows", place % 40, place // 40, None)
+    big = (1 << 61) + 12345
+    far = spark.range(5).select((F.col("id") + big - 7).alias("x")).select("x", sharding.permuted(F.col("x"), big, 3).alias("p")).collect()
+    assert all(r.p == plain_permutation(r.x, big, 3) for r in far)
+
+
 def water(sizes, weights, most=3.0):
     total, target, open_ = float(sum(sizes)), [0.0] * len(sizes), set(range(len(sizes)))
     left = total
@@ -244,11 +287,35 @@ def test_mixing(spark, docs, none):
     for n, size, want in zip(names, sizes, water(sizes, [5, 2, 1, 5, 2, 1]), strict=True):
         g = got[got.source.isna() if n is None else got.source == n]
         assert (g.source_size == size).all() and np.allclose(g.target, want) and abs(g.taken.sum() - want) <= max(3, 0.01 * want)
+        # Rates by bisection on the tilt.
+        mean = g["size"][g["size"] > 0].mean()
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            r = np.minimum(3, np.exp(np.minimum(mid * g["size"] / mean, 50)))
+            low, high = (mid, high) if (r * g["size"]).sum() < want else (low, mid)
+        if want < 2.999 * size:
+            assert np.allclose(r[g["size"] > 0], g.rate[g["size"] > 0], rtol=1e-4)
     small = mixing.mix(docs).collect()
     assert len(small) == len(ROWS) and mixing.mix(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("share", [10_000, 7])
+def test_mixing_of_repeated_rows(spark, monkeypatch, share):
+    """Null and repeated ids, alike or not: targets are met, and reruns agree."""
+    monkeypatch.setattr(mixing, "SHARE", share)
+    rows = [(None, "w " * 8, "a")] * 300 + [(1, "w " * 8, "b")] * 200 + [(2, f"w{k % 3} " * 5, "b") for k in range(300)] + [(k, "w " * 8, "c") for k in range(300)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], DOCS + ", rank int, rows int, `key` int")
+    got = mixing.mix(df).toPandas()
+    for n, want in got.groupby("source").target.first().items():
+        assert abs(got[got.source == n].taken.sum() - want) <= max(8, 0.01 * want)
+    key = lambda x: sorted(map(str, x.itertuples(index=False, name=None)))
+    assert key(got) == key(mixing.mix(df.repartition(5)).toPandas())
+    many = mixing.mixed_documents(df)
+    assert many.columns == df.columns and many.count() == got.copies.sum()
+
+
 @pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no tokenizer files")
 def test_pieces(docs):
     with open(pieces.MODEL, "rb") as f:
@@ -298,10 +365,57 @@ def test_digests(spark, none):
     assert digests.likeness(by[1].fingerprint, by[1].fingerprint) == 1 and all(0 <= r.near_next <= 1 for r in got)
     one = digests.edits(spark.createDataFrame([(5, "abcdef")], "doc_id bigint, text string")).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and digests.edits(none).count() == 0
+    long = "é long text " * 200_000
+    rows = [(1, long, "x"), (None, "no id", "y"), (None, "no id", "y"), (None, "no id either", "z"), (2, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, fingerprint string")
+    for parts in (1, 4, 9):
+        got = digests.edits(df.repartition(3), parts=parts).collect()
+        key = lambda r: (r.doc_id is None, r.doc_id or 0, r.fingerprint, r.edited_sha256, round(r.near_next, 9))
+        seen = sorted(map(key, got)) if parts == 1 else seen
+        assert sorted(map(key, got)) == seen and len(got) == 5
+    assert digests.fingerprints(df).columns == ["doc_id", "text", "fingerprint"] and len(digests.fingerprints(df).first().fingerprint) == 132
     data, c = bytes(random.Random(5).randrange(256) for _ in range(5000)), digests.counts
     assert c(data).sum() == 6 * (len(data) - 4) and (c(data[:2504]) + c(data[2500:]) == c(data)).all()
 
 
+def plain_digest(data):
+    """The digest by loops over windows, apart from the operator's tables."""
+    counts = [0] * 256
+    pair = lambda x, y: ((((x << 8 | y) * 0x9E3779B1) & 0xFFFFFFFF) >> 8) & 0xFFFF
+    third = lambda z: ((z * 0x85EBCA6B + 0x5BD1E995) >> 7) & 0xFFFF
+    for i in range(4, len(data)):
+        for salt, (y, z) in enumerate([(1, 2), (1, 3), (2, 3), (2, 4), (1, 4), (3, 4)], 1):
+            mixed = (pair(data[i], data[i - y]) ^ third(data[i - z])) * ((2 * salt * 0x2F1B + 1) & 0xFFFF) & 0xFFFF
+            counts[mixed >> 8] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    codes = [(x > q1) + (x > q2) + (x > q3) for x in counts]
+    body = "".join(f"{a << 6 | b << 4 | c << 2 | d:02x}" for a, b, c, d in zip(*[iter(codes)] * 4, strict=True))
+    ratios = (q1 * 16 // q3 % 16, q2 * 16 // q3 % 16) if q3 else (0, 0)
+    return f"{min(255, round(8 * np.log2(len(data) + 1))):02x}{ratios[0]:x}{ratios[1]:x}{body}", codes
+
+
+def test_digests_of_the_table_by_loops(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    docs_ = sorted((r["doc_id"], r["text"] or "") for r in table)
+    got = {r.doc_id: r for r in digests.query(spark, sf_dir).collect()}
+    assert len(got) == len(docs_)
+    for k, (i, text) in enumerate(docs_):
+        following = docs_[(k + 1) % len(docs_)][1]
+        new = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        if len(text) > 3000:
+            continue  # loops are slow
+        (a, x), (b, y) = plain_digest(text.encode()), plain_digest(new.encode())
+        assert got[i].fingerprint == a and got[i].edited_fingerprint == b
+        body = sum(6 if abs(p - q) == 3 else abs(p - q) for p, q in zip(x, y, strict=True))
+        u, v = bytes.fromhex(a[:4]), bytes.fromhex(b[:4])
+        length = min(max(0, abs(u[0] - v[0]) - 1) + (u[0] != v[0]) / 12, 8)
+        ratios = sum(min(abs(p - q), 8) for p, q in ((u[1] >> 4, v[1] >> 4), (u[1] & 15, v[1] & 15)))
+        assert np.isclose(got[i].near_edited, max(0, 1 - (body + round(length * 12) + 2 * ratios) / 416))
+
+
 def test_urls(spark):
     cases = {
         "https://a.Example.NET/en/1?x": ("a.example.net", "/en/1", "example.net/en/", "allow"),
@@ -321,7 +435,7 @@ def test_urls(spark):
 def test_surrogates(spark):
     text = 'Mr. Robert Miller, AB.30@mail1.example.com, +1 (961) 555-6946, 187.87.99.220, 4111111111111111, token = "99168226c4d3cee7e953", Frau Schmidt'
     rows = [(1, text), (2, "ab.30@mail1.example.com again"), (3, None), (4, ""), (5, "plain words, 2024 and 3.5")]
-    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()}
     new = got[1].text
     assert [e.kind for e in got[1].entities] == ["name_m", "email", "phone", "ip", "card", "secret", "name_f"]
     for s in ("Robert", "Miller", "AB.30@mail1", "961) 555-6946", "187.87.99.220", "4111111111111111", "99168226c4d3cee7e953", "Schmidt"):
@@ -330,6 +444,7 @@ def test_surrogates(spark):
     assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1]
     k = surrogates.Keyed(b"k")
     assert sorted(k.shifted(x, 500, "t") for x in range(500)) == list(range(500)) and all(k.shifted(x, 500, "t") != x for x in range(500))
+    assert surrogates.replaced(spark.createDataFrame([], "text string, Entities int"), b"k").columns == ["text", "entities"]
     c = k.surrogate("card", "4111111111111111")
     assert surrogates.luhn_digit(c[:-1]) == c[-1] and c[0] == "4"
 
@@ -339,7 +454,7 @@ def test_surrogates_in_capitals_and_other_spellings(spark):
     secret = "99168226c4d3cee7e953"
     others = [f'token="{secret}"', f'Token: "{secret}"', f"API_KEY='{secret}'", f'{{"password" : "{secret}"}}', f"secret =\t'{secret}'"]
     rows = [(1, text), (2, text.upper()), *enumerate(others, 3), (9, "I miss London, a key = value and sir names")]
-    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id bigint, text string"), b"k").collect()}
     assert [e.kind for e in got[2].entities] == [e.kind for e in got[1].entities] == ["name_m", "email", "phone", "secret", "name_f"]
     names = [[r.text.split(", ")[0], r.text.split(", ")[4]] for r in (got[1], got[2])]
     assert [x.upper() for x in names[0]] == names[1] and "MILLER" not in got[2].text and secret.upper() not in got[2].text
@@ -347,6 +462,35 @@ def test_surrogates_in_capitals_and_other_spellings(spark):
     assert got[9].text == rows[-1][1] and not got[9].entities
 
 
+def test_surrogates_never_stay(spark):
+    """Letters outside the lists, other scripts, the same person without title, a text of megabytes."""
+    texts = ["Mr Ææ came", "用户@mail.cn", "Mr Robert Miller came. Robert Miller left. ROBERT MILLERS", "Mr Żółć and Mrs Ωμέγα", "ÆÆÆ@ŁŁŁ.example.com", "x " * 600_000 + "Mr Robert Miller"]
+    got = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1), b"k").orderBy("doc_id").collect()]
+    assert "Ææ" not in got[0] and "用户" not in got[1] and got[1].endswith(".cn") and "Ż" not in got[3]
+    first, rest = got[2].split(" came. ")
+    assert "Robert Miller" not in got[2] and rest.startswith(first.removeprefix("Mr ") + " left.") and len(got[4]) == len(texts[4]) and "ÆÆÆ" not in got[4]
+    assert got[5][:20] == texts[5][:20] and got[5].split("Mr ")[1] == first.removeprefix("Mr ")
+
+
+def test_surrogates_are_distinct(spark):
+    """Names by construction, within gender and script; what can't change in its format by the check."""
+    k = surrogates.Keyed(b"k")
+    firsts = [n for p in surrogates.FIRST_NAMES.values() for n in p] + ["Zed", "Quentin", "Ada"]
+    names = [f"{a} {b}" for a in firsts for b in ("Miller", "Kohler", "Иванов", "Żak")] + ["Miller", "Mary", "James"]
+    dealt = [k.surrogate("name_m", n) for n in names]
+    assert len(set(dealt)) == len(names) and all(a != b for a, b in zip(names, dealt, strict=True))
+    genders = {n: g for (g, _), p in surrogates.FIRST_NAMES.items() for n in p}
+    assert all(genders.get(a.split(" ")[0]) == genders.get(b.split(" ")[0]) for a, b in zip(names, dealt, strict=True) if " " in a)
+    # Without a letter or digit nothing can change in the format: these are found by the check and drawn anew.
+    secrets = ["_" * 16, "-" * 16, "_-" * 8]
+    df = spark.createDataFrame([(f'token="{x}"',) for x in secrets] * 2, "text string")
+    odd = surrogates.exceptions(df, b"k")
+    out = [k.surrogate("secret", x, odd[("secret", x)]) for x in secrets]
+    assert len(set(out)) == 3 and not set(out) & set(secrets)
+    got = {r.text for r in surrogates.replaced(df, b"k").collect()}
+    assert got == {f'token="{x}"' for x in out}
+
+
 def test_licenses(spark):
     rows = [(1, "Some words.\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0."), (3, "The driver showed a license at the border."), (4, None), (5, ""), (6, "All rights reserved.\nmore")]
     got = {r.doc_id: [(x.line, x.family, x.confirmed) for x in r.licenses] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
