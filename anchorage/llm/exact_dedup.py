@@ -25,8 +25,10 @@ MODULUS = (1 << 31) - 1
 BASES = (1_000_003, 48_271_337)
 CHUNK = 1 << 16
 DIGEST = "struct<n:bigint,h1:bigint,s1:bigint,h2:bigint,s2:bigint>"
-#: A group with more rows than this, and than a thousandth of all rows, is salted.
-HOT_ROWS = 10_000
+#: A text of more bytes is cut into parts of so many code points, which are hashed in any tasks.
+HUGE, PART = 1 << 20, 1 << 18
+#: A group with more rows or bytes than these, and than a thousandth of all, is salted.
+HOT_ROWS, HOT_BYTES = 10_000, 256 << 20
 
 
 def normalise(raw: bytes) -> bytes:
@@ -81,7 +83,7 @@ def combine(digest_array: Column, modulus: int = MODULUS) -> Column:
     return F.aggregate(digest_array, zero, step)
 
 
-def fingerprint_parts(parts: DataFrame, key: str, seq: str, part: str) -> DataFrame:
+def fingerprint_parts(parts: DataFrame, key: str, seq: str, part: str, modulus: int = MODULUS) -> DataFrame:
     """Fingerprints of documents that are stored as rows of parts: ``key, n, f1, f2``.
 
     Parts are hashed where they lie; only digests meet. Null parts count as empty.
@@ -89,17 +91,24 @@ def fingerprint_parts(parts: DataFrame, key: str, seq: str, part: str) -> DataFr
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = [digests(normalise((x or "").encode("utf-8", "surrogatepass"))) for x in b.column("part").to_pylist()]
+            d = [digests(normalise((x or "").encode("utf-8", "surrogatepass")), modulus) for x in b.column("part").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("seq"), pa.array(d, _DIGESTS)], ["key", "seq", "d"])
 
     kind = dict(parts.dtypes)
     rows = parts.select(F.col(key).alias("key"), F.col(seq).alias("seq"), F.col(part).alias("part"))
     rows = rows.mapInArrow(tidy(hashed), f"key {kind[key]}, seq {kind[seq]}, d array<{DIGEST}>")
     whole = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "d"))).alias("all"))
-    whole = whole.select("key", combine(F.flatten(F.transform("all", lambda x: x.d))).alias("d"))
+    whole = whole.select("key", combine(F.flatten(F.transform("all", lambda x: x.d)), modulus).alias("d"))
     return whole.select(F.col("key").alias(key), F.col("d.n").alias("n"), F.col("d.h1").alias("f1"), F.col("d.h2").alias("f2"))
 
 
+def _cut(huge: DataFrame) -> DataFrame:
+    """``rid, seq, part``: texts in parts that are dealt to all tasks."""
+    count = F.ceil(F.length("text") / PART).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("text"), i * PART + 1, F.lit(PART)))
+    return huge.select("rid", F.posexplode(parts).alias("seq", "part")).repartition("rid", "seq")
+
+
 _DIGESTS = pa.list_(pa.struct([(k, pa.int64()) for k in ("n", "h1", "s1", "h2", "s2")]))
 _KEY = ["n", "f1", "f2"]
 
@@ -193,45 +202,64 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[b.column(n) for n in keep], pa.array(same, pa.bool_())], [*keep, "same"])
 
 
-def resolve_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = MODULUS, scratch: Scratch | None = None, sha: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Splits rows into (certainly single, decided): both have df's columns and ``keep_id,
+def _packed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, text, row``: df with its other columns, whatever their names, in one."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text], F.lit(None).cast("int").alias("_"))
+    return df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), row.alias("row"))
+
+
+def resolve_groups(df: DataFrame, modulus: int = MODULUS, sha: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Splits rows of ``id, text, row`` into (certainly single, decided), both with ``keep_id,
     group_size, kept`` and, with ``sha``, ``text_sha256``.
 
     Pass 1 counts fingerprints with partial aggregation and turns repeated ones into a bitmap of
-    at most 16 MiB. Rows whose bit is clear are single and never shuffled. The others, about as
-    many as there are copies, meet their group's representative by a join that is salted for hot
-    groups, and are compared chunk by chunk. Rows that differ from it (a collision) go through
-    another turn among themselves. Equal texts: the row with most code points, then smallest id,
-    stays; a null id comes last; of repeated rows one stays. Null text is an empty text. An empty
-    table gives no rows.
+    at most 16 MiB. Texts beyond HUGE bytes are cut, their parts hashed apart and combined. Rows
+    whose bit is clear are single and never shuffled. The others, about as many as there are
+    copies, meet their group's representative by a join that is salted for hot groups, and are
+    compared chunk by chunk. Rows that differ from it (a collision) go through another turn
+    among themselves. Equal texts: the row with most code points, then smallest id, stays; a null
+    id comes last; of repeated rows one stays. Null text is an empty text. An empty table gives
+    no rows.
     """
     spark = df.sparkSession
-    scratch = scratch or Scratch(spark)
-    repeated = scratch.save(_hashed(df, text, modulus).groupBy(*_KEY).agg(F.count("*").alias("rows")).where("rows > 1"))
+    scratch = Scratch(spark)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total = df.agg(F.sum(size).alias("bytes"), F.count_if(size > HUGE).alias("huge")).first()
+    keys = _hashed(df, "text", modulus)
+    usual, huge = df, None
+    if total.huge:
+        usual = df.where(size <= HUGE)
+        huge = scratch.save(df.where(size > HUGE).withColumn("rid", F.monotonically_increasing_id()))
+        huge = huge.join(scratch.save(fingerprint_parts(_cut(huge), "rid", "seq", "part", modulus)), "rid").drop("rid")
+        keys = _hashed(usual, "text", modulus).unionByName(huge.select(*_KEY))
+    repeated = scratch.save(keys.groupBy(*_KEY).agg(F.count("*").alias("rows")).where("rows > 1"))
     bits = bits_for(repeated.count())
     bitmap = spark.sparkContext.broadcast(key_bitmap(repeated, _mixed_column(), bits).tobytes())
-    own = [c for c in df.columns if c in (*_KEY, "text_sha256", "rid", "keep_id", "group_size", "kept", "row")]
-    if own:
-        raise ValueError(f"rename these columns before exact dedup: {own}")
-
-    single = _hashed(df, text, modulus, bitmap, False, sha)
-    single = single.withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)}).drop(*_KEY)
 
-    found = scratch.save(_hashed(df, text, modulus, bitmap, True, sha).withColumn("rid", F.monotonically_increasing_id()))
-    hot_rows = max(HOT_ROWS, found.count() // 1000)
-    thin = ["rid", F.col(doc_id).alias("id"), F.col(text).alias("text"), *_KEY]
-    pending, decided = found.select(*thin), []
+    single = _hashed(usual, "text", modulus, bitmap, False, sha)
+    found = _hashed(usual, "text", modulus, bitmap, True, sha)
+    if huge is not None:
+        if sha:
+            huge = huge.withColumn("text_sha256", F.sha2(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "").cast("binary"), 256))
+        single = single.unionByName(huge.join(repeated, _KEY, "left_anti").select(*single.columns))
+        found = found.unionByName(huge.join(repeated, _KEY, "left_semi").select(*found.columns))
+    single = single.withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)}).drop(*_KEY)
+
+    found = scratch.save(found.withColumn("rid", F.monotonically_increasing_id()))
+    hot_rows, hot_bytes = max(HOT_ROWS, found.count() // 1000), max(HOT_BYTES, (total.bytes or 0) // 1000)
+    pending, decided = found.select("rid", "id", "text", *_KEY), []
     order = F.struct((-F.length(F.coalesce("text", F.lit("")))).alias("a"), F.col("id").isNull().alias("b"), F.col("id").alias("c"), F.col("rid").alias("d"))
     while True:
-        reps = pending.groupBy(*_KEY).agg(F.count("*").alias("rows"), F.min(order).alias("best"), F.min_by("text", order).alias("rep_text"))
-        reps = scratch.save(reps.select(*_KEY, "rows", F.col("best.c").alias("rep_id"), F.col("best.d").alias("rep_rid"), "rep_text"))
-        # At most 1000 groups can have more than a thousandth of the rows: a proven bound.
-        hot = reps.where(F.col("rows") > hot_rows).select(*_KEY, F.ceil(F.col("rows") / hot_rows).cast("int").alias("salts"))
+        reps = pending.groupBy(*_KEY).agg(F.count("*").alias("rows"), F.sum(size).alias("bytes"), F.min(order).alias("best"), F.min_by("text", order).alias("rep_text"))
+        salts = F.least(F.col("rows"), F.greatest(F.ceil(F.col("rows") / hot_rows), F.ceil(F.col("bytes") / hot_bytes))).cast("int")
+        reps = scratch.save(reps.select(*_KEY, "rows", salts.alias("salts"), F.col("best.c").alias("rep_id"), F.col("best.d").alias("rep_rid"), "rep_text"))
+        # At most 1000 groups can have more than a thousandth of the rows, and as many of the bytes: a proven bound.
+        hot = reps.where("salts > 1").select(*_KEY, "salts")
         salted = pending.join(F.broadcast(hot), _KEY, "left").withColumn("salt", F.coalesce(F.pmod(F.hash("rid"), F.col("salts")), F.lit(0))).drop("salts")
-        salts = F.when(F.col("rows") > hot_rows, F.ceil(F.col("rows") / hot_rows)).otherwise(1).cast("int")
-        spread = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        spread = reps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(F.col("salts"), F.lit(1)) - 1))).drop("salts")
         met = salted.join(spread, [*_KEY, "salt"]).select("rid", "rep_rid", "rep_id", "rows", "text", "rep_text")
-        met = scratch.save(met.mapInArrow(tidy(_compare), "rid bigint, rep_rid bigint, rep_id bigint, rows bigint, same boolean"))
+        kind = dict(df.dtypes)["id"]
+        met = scratch.save(met.mapInArrow(tidy(_compare), f"rid bigint, rep_rid bigint, rep_id {kind}, rows bigint, same boolean"))
         missed = met.where(~F.col("same"))
         if missed.isEmpty():
             decided.append(met.where("same"))
@@ -247,15 +275,17 @@ def resolve_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mo
 
 
 def exact_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = MODULUS) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    single, multiple = resolve_groups(df.select(doc_id, text), doc_id, text, modulus)
-    return single.unionByName(multiple).select(doc_id, "keep_id", "group_size", "kept", "text_sha256")
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``; see ``resolve_groups``.
+    Other columns than the two are not read."""
+    single, multiple = resolve_groups(df.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")), modulus)
+    return single.unionByName(multiple).select(F.col("id").alias(doc_id), "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep_first_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay, with df's columns."""
-    single, multiple = resolve_groups(df, doc_id, text, sha=False)
-    return single.select(*df.columns).unionByName(multiple.where("kept").select(*df.columns))
+    """The rows of df that stay, with df's columns, whatever their names."""
+    single, multiple = resolve_groups(_packed(df, doc_id, text), sha=False)
+    names = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns]
+    return single.select(*names).unionByName(multiple.where("kept").select(*names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,21 @@ def test_exact_dedup(docs, none, modulus):
     assert exact_dedup.keep_first_copies(docs).count() == 7
 
 
+def test_exact_dedup_of_huge_texts(spark, monkeypatch):
+    """Cut texts are the same as whole ones, a hot group of large texts is salted, columns may have any names."""
+    monkeypatch.setattr(exact_dedup, "HUGE", 1000)
+    monkeypatch.setattr(exact_dedup, "PART", 333)
+    monkeypatch.setattr(exact_dedup, "HOT_BYTES", 5000)
+    long = "é word " * 1000
+    rows = [(k, long + " " * k, "x", 1, True) for k in range(30)] + [(50, long + ".", "x", 1, True), (51, "short", "x", 1, True), (52, "s h o r t", "x", 1, True), (53, "é" * 900, "x", 1, True), (54, "é" * 900 + " " * 200, "x", 1, True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n string, row int, kept boolean")
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(df).collect()}
+    assert {got[k].keep_id for k in range(30)} == {29} and got[3].group_size == 30 and got[50].kept and got[51].keep_id == 52 and got[53].keep_id == 54
+    assert all(got[i].text_sha256 == hashlib.sha256(exact_dedup.normalise(t.encode())).hexdigest() for i, t, *_ in rows)
+    kept = exact_dedup.keep_first_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [29, 50, 52, 54]
+
+
 def test_fingerprints_compose(spark):
     text = "".join(chr(33 + random.Random(2).randrange(90)) + "é" for _ in range(120_000))
     cuts = [0, 5, 70_000, 70_001, 200_000, len(text)]
