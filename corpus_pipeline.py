@@ -5,12 +5,10 @@ Part of the subpackage ``llm``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from anchorage.llm import exact_dedup, jaccard_join, mixing, pieces, toxicity
-from anchorage.llm.base import shared_dir
+from anchorage.llm.base import Scratch
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each class of near duplicates (five-word shingles, 0.8)."""
+    """Keeps one row of each class of near duplicates (five-word shingles, 0.8)."""
     return jaccard_join.keep_one_each(docs)
 
 
@@ -51,14 +49,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages in order; each result is written as Parquet and read again."""
+    """Applies the stages in order; each result is written as Parquet and read again.
+
+    A table goes as soon as the next one is written, the last ones with the driver's JVM.
+    """
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        path = f"{root}/{k}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    last = None
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
