@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .base import documents, tidy
+from .base import documents, tidy, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
@@ -71,8 +72,9 @@ class Pieces:
         self.inside = {a + b for p in self.scores for a, b in zip(p, p[1:], strict=False)}
         #: Whether a run of spaces always begins a new stretch.
         self.spaces_begin = not any(x[0] != SPACE and x[1] == SPACE for x in self.inside)
-        self.words, self.stretches, self.lists = {}, {}, {}
+        self.stretches, self.lists = {}, {}
         self._tables()
+        self._forget()
 
     def _tables(self) -> None:
         """Direct tables by a hash of the piece; each piece lies in one of them."""
@@ -83,17 +85,17 @@ class Pieces:
         hashes = {p: int(self._hash(np.array([[ord(c)] for c in p], np.uint32), len(p))[-1][0, 0]) for p in self.scores}
         if len(set(hashes.values())) < len(hashes):
             raise ValueError("two pieces share a hash")
-        self.bits = (32 * len(hashes)).bit_length()
         self.slots, rest = [], hashes
-        for m in MULTIPLIERS:
-            keys, ids, left = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32), {}
+        for m in MULTIPLIERS:  # few pieces are left for each further table, so it is small
+            bits = (32 * len(rest)).bit_length()
+            keys, ids, left = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), {}
             for p, h in rest.items():
-                at = h * m % (1 << 64) >> 64 - self.bits
+                at = h * m % (1 << 64) >> 64 - bits
                 if ids[at] < 0:
                     keys[at], ids[at] = h, self.ids[p]
                 else:
                     left[p] = h
-            self.slots.append((m, keys, ids))
+            self.slots.append((m, bits, keys, ids))
             if not (rest := left):
                 break
         else:
@@ -113,9 +115,10 @@ class Pieces:
 
     def _piece_ids(self, h: np.ndarray) -> np.ndarray:
         out = np.full(h.shape, -1, np.int32)
-        for m, keys, ids in self.slots:
-            at = (h * np.uint64(m) >> np.uint64(64 - self.bits)).astype(np.int64)
-            out = np.where((keys[at] == h) & (ids[at] >= 0), ids[at], out)
+        for m, bits, keys, ids in self.slots:  # an empty place has no piece, which is what out holds already
+            at = h * np.uint64(m) >> np.uint64(64 - bits)
+            hit = keys[at] == h
+            out[hit] = np.maximum(out[hit], ids[at[hit]])
         return out
 
     def learn(self, words: list[str]) -> None:
@@ -156,10 +159,8 @@ class Pieces:
             best[j], second[j], taken[j] = a, b, t
         gap = np.where(second[n] > NO_EDGE // 2, best[n] - second[n], NEVER)
         flat, ends = self._read_back(chars, ids, taken, n)
-        raw, at = flat.tobytes(), 0
-        for w, end, x, g in zip(group, ends.tolist(), best[n].tolist(), gap.tolist(), strict=True):
-            self.words[w] = (raw[4 * at : 4 * end], x, g, w)
-            at = end
+        raw, at = flat.tobytes(), [0, *(4 * ends).tolist()]
+        self._entered(group, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], best[n], gap)
 
     def _read_back(self, chars, ids, taken, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The best paths' ids, row after row, and where each row ends."""
@@ -188,7 +189,18 @@ class Pieces:
         return what[order].astype(np.int32), np.cumsum(np.bincount(who, minlength=len(rows)))
 
     def _enter(self, word: str, paths: list[Path]) -> None:
-        self.words[word] = (np.array(paths[0][1], np.int32).tobytes(), paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else NEVER, word)
+        gap = paths[0][0] - paths[1][0] if len(paths) > 1 else NEVER
+        self._entered([word], [np.array(paths[0][1], np.int32).tobytes()], [paths[0][0]], [gap])
+
+    def _forget(self) -> None:
+        """No words are known: their numbers, best ids, and by number scores, gaps and how many ids."""
+        self.known, self.raws, self.facts = {}, [], np.empty((3, 0), np.int64)
+        self.fresh: list[np.ndarray] = []
+
+    def _entered(self, words: list[str], raws: list[bytes], scores, gaps) -> None:
+        self.known.update(zip(words, range(len(self.raws), len(self.raws) + len(words)), strict=True))
+        self.raws += raws
+        self.fresh.append(np.array([scores, gaps, [len(x) // 4 for x in raws]], np.int64))
 
     def paths(self, word: str) -> list[Path]:
         """The n best paths of one word, by the search."""
@@ -199,9 +211,9 @@ class Pieces:
                 found = self._spelled(word)
             else:
                 found = self.stretch(SPACE + word.replace(" ", SPACE))
-            if known := self.words.get(word):  # of equal paths the entry's own comes first
-                own = (known[1], tuple(np.frombuffer(known[0], np.int32).tolist()))
-                found = [own, *[p for p in found if p[1] != own[1]]][: max(1, len(found))]
+            if (k := self.known.get(word)) is not None:  # of equal paths the entry's own comes first
+                own = tuple(np.frombuffer(self.raws[k], np.int32).tolist())
+                found = [(found[0][0], own), *[p for p in found if p[1] != own]][: max(1, len(found))]
             self.lists[word] = found
         return found
 
@@ -314,25 +326,28 @@ class Pieces:
             return text.split(" ")
         return [x[1:] for x in _RUNS.findall(" " + text)]
 
-    def prepare(self, texts: list[str]) -> list[list[str]]:
-        """Texts as words, every one of them known from then on (until the next call)."""
+    def prepare(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """Texts as words, the words' numbers, and where each text's begin; all words are known until the next call."""
         split = [self.split(t) if t else [] for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = set().union(*split) - self.words.keys()
+        if len(self.known) > CACHE:
+            self._forget()
+        new = set().union(*split) - self.known.keys()
         self.learn(sorted(new))
-        return split
-
-    def segmented(self, words: list[str]) -> tuple[np.ndarray, list[int], list[dict[int, int]]]:
-        """Best ids, n-best scores in micronats, and for each of the n best the words it changes."""
-        if not words:
-            return np.empty(0, np.int32), [0], [{}]
-        entries = list(map(self.words.__getitem__, words))
-        ids = np.frombuffer(b"".join(map(_IDS, entries)), np.int32)
-        score = sum(map(_SCORE, entries))
-        gaps = np.fromiter(map(_GAP, entries), np.int64, len(entries))
-        # A sum among the n best changes only words whose gap is among the n - 1 smallest: any
-        # other has n sums that lose no more than it does.
+        if self.fresh:
+            self.facts, self.fresh = np.concatenate([self.facts, *self.fresh], axis=1), []
+        starts = np.cumsum([0, *map(len, split)])
+        return split, np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(starts[-1])), starts
+
+    def best(self, numbers: np.ndarray) -> np.ndarray:
+        """The best ids of words, one word after the other."""
+        return np.frombuffer(b"".join(map(self.raws.__getitem__, numbers.tolist())), np.int32)
+
+    def ranked(self, words: list[str], gaps: np.ndarray) -> tuple[list[int], list[dict[int, int]]]:
+        """What each of the n best loses in micronats, and the words that it changes.
+
+        A sum among the n best changes only words whose gap is among the n - 1 smallest: any
+        other has n sums that lose no more than it does.
+        """
         few = min(self.nbest - 1, len(gaps))
         least = np.flatnonzero(gaps <= np.partition(gaps, few - 1)[few - 1]) if few else []
         least = sorted((int(gaps[k]), int(k)) for k in least)[:few]
@@ -341,19 +356,29 @@ class Pieces:
             if g < NEVER:
                 p = self.paths(words[k])
                 out = sorted([(a + p[0][0] - p[r][0], (*c, (k, r)) if r else c) for a, c in out for r in range(len(p))])[: self.nbest]
-        return ids, [score - a for a, _ in out], [dict(c) for _, c in out]
+        return [a for a, _ in out], [dict(c) for _, c in out]
 
-    def overlays(self, words: list[str], changed: list[dict[int, int]]) -> list[list[dict]]:
+    def overlays(self, words: list[str], ends: np.ndarray, sizes: np.ndarray, changed: list[dict[int, int]]) -> list[list[dict]]:
         """For each of the n best what it has in place of the best ids: from ``at`` on ``cut`` ids become ``ids``."""
-        at = {}
-        for k in {k for c in changed for k in c}:
-            at[k] = sum(len(self.words[w][0]) for w in words[:k]) // 4
-        return [[{"at": at[k], "cut": len(self.words[words[k]][0]) // 4, "ids": list(self.paths(words[k])[r][1])} for k, r in sorted(c.items())] for c in changed]
+        return [[{"at": int(ends[k] - sizes[k]), "cut": int(sizes[k]), "ids": list(self.paths(words[k])[r][1])} for k, r in sorted(c.items())] for c in changed]
+
+    def segmented(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[list[int], list[dict[int, int]], list[list[dict]]]]]:
+        """All best ids, where each text's begin, and for each text the n best: scores, changed words, overlays."""
+        split, numbers, starts = self.prepare(texts)
+        score, gap, size = self.facts[:, numbers]
+        total = np.r_[0, np.cumsum(size)]
+        sums = np.r_[0, np.cumsum(score)]
+        out = []
+        for words, a, b in zip(split, starts.tolist(), starts[1:].tolist(), strict=False):
+            losses, changed = self.ranked(words, gap[a:b])
+            best = int(sums[b] - sums[a])
+            out.append(([best - x for x in losses], changed, self.overlays(words, total[a + 1 : b + 1] - total[a], size[a:b], changed)))
+        return self.best(numbers), total[starts], out
 
     def nbest_ids(self, text: str | None) -> list[tuple[int, list[int]]]:
         """The n best segmentations in full: score in micronats and ids."""
-        words = self.prepare([text or ""])[0]
-        _, scores, changed = self.segmented(words)
+        words = self.prepare([text or ""])[0][0]
+        _, _, ((scores, changed, _),) = self.segmented([text or ""])
         return [(s, [i for k, w in enumerate(words) for i in self.paths(w)[c.get(k, 0)][1]]) for s, c in zip(scores, changed, strict=True)]
 
     def spelled(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
@@ -387,7 +412,6 @@ LONGEST_WORD = 48
 #: Odd 64-bit multipliers of the tables.
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _RUNS = re.compile(" +[^ ]*")
-_IDS, _SCORE, _GAP = itemgetter(0), itemgetter(1), itemgetter(2)
 
 
 #: The n best as overlays of the best ids, in Arrow.
@@ -406,10 +430,17 @@ def overlaid(ids: list[int], changes: list) -> list[int]:
 def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: ``doc_id, *keep, ids, n_pieces, score, nbest_scores, nbest_changes, round_trip``.
 
+    The best ids come from forward Viterbi; the other segmentations of a word, and all of words
+    that are long or odd, from the backward A-star search; lists of words merge into the text's.
+    For a BPE model the scores are those of a unigram reading of its ranks (see ``Pieces``), so
+    ids may differ from those that the model's own merges give.
+
     ``nbest_changes`` has for each of the n best what it changes in ``ids`` (nothing for the
     best itself): ``overlaid`` and ``decoded(rank=...)`` give it in full. ``score`` and ``nbest_scores`` are log-probabilities; fewer than nbest if a text has fewer
     segmentations. ``round_trip``: every one of the n best decodes to the text. Null and empty
-    texts have no pieces and one segmentation of score 0. Equal rows get equal results.
+    texts have no pieces and one segmentation of score 0. Equal rows get equal results. Long texts
+    are segmented whole, one beside a batch in memory. An empty table gives no rows. A column of
+    keep that has the name of a result gives way to it.
     The model file is read by the driver and broadcast (half a MB).
     """
     with open(model, "rb") as f:
@@ -421,24 +452,23 @@ def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str =
             for at, rows in slices(b.column("text")):
                 part = b.slice(at, rows)
                 texts = [t.as_py() or "" for t in part.column("text")]
-                split = pieces.prepare(texts)
-                done = [pieces.segmented(w) for w in split]
-                ends = np.cumsum([0, *[len(d[0]) for d in done]])
-                flat = np.concatenate([d[0] for d in done])
+                flat, ends, done = pieces.segmented(texts)
                 spelled = pieces.spelled(flat, ends)
-                over = [pieces.overlays(w, d[2]) for w, d in zip(split, done, strict=True)]
+                over = [d[2] for d in done]
                 trips = []
-                for t, s, o, d in zip(texts, spelled, over, done, strict=True):
+                for t, s, o, a in zip(texts, spelled, over, ends.tolist(), strict=False):
                     # Texts are their ids' bytes one after the other, so it is enough to decode what changes.
-                    trips.append(s == t and all(_spell(pieces, x["ids"]) == _spell(pieces, d[0][x["at"] : x["at"] + x["cut"]].tolist()) for c in o for x in c))
+                    trips.append(s == t and all(_spell(pieces, x["ids"]) == _spell(pieces, flat[a + x["at"] : a + x["at"] + x["cut"]].tolist()) for c in o for x in c))
                 cols = [part.column(k) for k in range(len(names) - 6)]
-                scores = [[x / 1e6 for x in d[1]] for d in done]
+                scores = [[x / 1e6 for x in d[0]] for d in done]
                 cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int32()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(over, _OVERLAYS), pa.array(trips, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = df.select(doc_id, *keep, df[text].alias("text")) if text not in keep else df.select(doc_id, *keep)
+    results = ["ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "round_trip"]
+    keep = tuple(c for c in dict.fromkeys(keep) if c.lower() not in {doc_id.lower(), *results})
+    rows = df.select(F.col(doc_id), *keep, F.col(text).alias("text")) if "text" not in keep else df.select(doc_id, *keep)
     kinds = dict(df.dtypes)
-    names = [doc_id, *keep, "ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "round_trip"]
+    names = [doc_id, *keep, *results]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (doc_id, *keep))
     return rows.mapInArrow(tidy(run), f"{schema}, ids array<int>, n_pieces int, score double, nbest_scores array<double>, nbest_changes array<array<struct<at:int,cut:int,ids:array<int>>>>, round_trip boolean")
 
@@ -450,8 +480,10 @@ def _spell(pieces: Pieces, ids: list[int]) -> bytes:
 def decoded(df: DataFrame, model: str = MODEL, ids: str = "ids", to: str = "text", rank: int = 0, changes: str = "nbest_changes") -> DataFrame:
     """df with the text of its ids, or of the segmentation of another rank of the n best.
 
-    Null ids give a null text, and so does a rank that a row doesn't have.
+    Null ids give a null text, and so does a rank that a row doesn't have. A column of df that
+    has the name of the result gives way to it. An empty table gives no rows.
     """
+    df = without(df, to)
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     at, names = df.columns.index(ids), [*df.columns, to]
