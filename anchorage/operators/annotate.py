@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dataset import IGNORED, Encoder, word_encoder
-from .match import Matcher, _collected
+from .match import Matcher, _collected, built
 from .ordering import ranked
 
 #: Where a link without a known page leads (a fixed value).
@@ -93,13 +93,11 @@ def smooth_list(tags: list[int]) -> list[int]:
 
 def dictionary_predictor(entries: list[str]) -> Predictor:
     """Tags tokens inside matches of a dictionary: the default where no trained model is given."""
-    made: list[Matcher] = []
+    matcher = Matcher(entries)
 
     def predict(text: str, offsets: list[tuple[int, int]]) -> list[int]:
-        if not made:
-            made.append(Matcher(entries))
         spans, end = [], 0
-        for a, b, _ in sorted(made[0].matches(text), key=lambda m: (m[0], -m[1])):
+        for a, b, _ in sorted(matcher.matches(text), key=lambda m: (m[0], -m[1])):
             if a >= end:
                 spans.append((a, b))
                 end = b
@@ -117,18 +115,16 @@ def dictionary_predictor(entries: list[str]) -> Predictor:
 def annotate(df: DataFrame, dictionary: DataFrame, text: str = "text", to: str = "html", encode: Encoder = word_encoder, predictor: Callable[[list[str]], Predictor] = dictionary_predictor) -> DataFrame:
     """df with its text as HTML: tokens, tags, smoothing, anchors. Null text gives null."""
     shared = df.sparkSession.sparkContext.broadcast(sorted({r[0] for r in _collected(dictionary, "anchor") if r[0]}))
-    made: list[Predictor] = []
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        if not made:
-            made.append(predictor(shared.value))
+        predict = built(shared, predictor)
 
         def one(x: str | None) -> str | None:
             if x is None:
                 return None
             _, _, spans = encode(x)
-            return rendered(x, spans, smooth_list(made[0](x, spans)))
+            return rendered(x, spans, smooth_list(predict(x, spans)))
 
         return s.map(one)
 

@@ -58,6 +58,19 @@ def top_targets(pairs: DataFrame) -> DataFrame:
     return rows.select("anchor", "target", (F.col("top") / F.col("pairs")).alias("target_share"))
 
 
+def anchor_statistics(links: DataFrame, at_least: int, min_anchor_len: int = 2) -> DataFrame:
+    """``anchor, freq_link, target, target_share``: ``link_counts`` and, for candidates, ``top_targets``.
+
+    Both come from the pairs' counts, so the links are read and shuffled once.
+    """
+    a, known = F.col("anchor"), F.col("target") != ""
+    pairs = links.where((F.length(a) >= min_anchor_len) & t.has_word_char(a)).groupBy("anchor", "target").agg(F.count("*").alias("pair_count"))
+    best = F.min(F.when(known, F.struct((-F.col("pair_count")).alias("n"), "target")))
+    rows = pairs.groupBy("anchor").agg(F.sum("pair_count").alias("freq_link"), best.alias("best"), F.sum(F.when(known, F.col("pair_count"))).alias("pairs"))
+    often = F.col("freq_link") >= at_least
+    return rows.select("anchor", "freq_link", F.when(often, F.col("best.target")).alias("target"), F.when(often, -F.col("best.n") / F.col("pairs")).alias("target_share"))
+
+
 def surface_stats(counts: DataFrame, plain: DataFrame, min_total: int = 10) -> DataFrame:
     """``anchor, freq_link, freq_text, total, p_link``; anchors that were never looked for count 0."""
     rows = counts.join(plain, "anchor", "left").withColumn("freq_text", F.coalesce("freq_text", F.lit(0)).cast("bigint"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def _word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+def built(shared: Broadcast, make: Callable[[Any], Any]) -> Any:
+    """What is made of a broadcast value, once a worker: workers keep the broadcast from task to task."""
+    if not hasattr(shared, "_built"):
+        shared._built = make(shared.value)
+    return shared._built
+
+
 def _collected(patterns: DataFrame, *columns: str) -> list:
     """A dictionary for broadcasting, its size checked."""
     rows = patterns.select(*columns).limit(MOST_PATTERNS + 1).collect()
@@ -87,7 +96,7 @@ def _counted(rows: DataFrame, block: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, found = Matcher(shared.value), Counter()
+        matcher, found = built(shared, Matcher), Counter()
         for b in batches:
             for x in b.column(0):
                 found.update(i for _, _, i in matcher.matches(x.as_py()))

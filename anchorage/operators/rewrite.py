@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .match import Matcher, _collected
+from .match import Matcher, _collected, built
 
 _LINK = re.compile(r"\[\[(.*?)\]\]", re.DOTALL)
 _SPACES = re.compile(r"\s+")
@@ -69,14 +69,11 @@ def autolink(whitelist: DataFrame) -> Callable[[Column], Column]:
     """A column function that links listed anchors to their targets; the list is broadcast, size checked."""
     rows = sorted({r.anchor: r.target for r in _collected(whitelist, "anchor", "target") if r.anchor}.items())
     shared = whitelist.sparkSession.sparkContext.broadcast(rows)
-    made: list[Matcher] = []
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        if not made:
-            made.append(Matcher([a for a, _ in shared.value]))
-        targets = [target for _, target in shared.value]
-        return s.map(lambda x: x if not x else autolinked(x, made[0], targets))
+        matcher, targets = built(shared, lambda rows: (Matcher([a for a, _ in rows]), [target for _, target in rows]))
+        return s.map(lambda x: x if not x else autolinked(x, matcher, targets))
 
     return run
 
@@ -88,8 +85,9 @@ def dense_paragraphs(c: Column, threshold: float = 0.03) -> Column:
 
 def filtered(df: DataFrame, text: str = "text", threshold: float = 0.03, keep: tuple[str, ...] = ()) -> DataFrame:
     """``*keep, text, link_ratio``: articles of their dense paragraphs; without any an article goes."""
-    rows = df.select(*keep, dense_paragraphs(F.col(text), threshold).alias("_kept")).where(F.size("_kept") > 0)
-    rows = rows.select(*keep, F.array_join("_kept", "\n\n").alias("text"))
+    # A generator works its paragraphs out once; a filter on them would do so twice.
+    dense = F.filter(F.array(dense_paragraphs(F.col(text), threshold)), lambda kept: F.size(kept) > 0)
+    rows = df.select(*keep, F.explode(dense).alias("_kept")).select(*keep, F.array_join("_kept", "\n\n").alias("text"))
     return rows.withColumn("link_ratio", t.link_ratio(F.col("text")))
 
 

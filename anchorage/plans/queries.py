@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,20 +73,42 @@ def plain_counts_join(spark: SparkSession, d: str) -> DataFrame:
     return match.plain_counts_by_join(spark.read.parquet(f"{d}/documents.parquet"), patterns)
 
 
-def _stats(spark: SparkSession, d: str) -> DataFrame:
-    return links.surface_stats(link_counts(spark, d), _plain(spark, d), MIN_TOTAL)
+def _statistics(spark: SparkSession, d: str, anchors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The statistics of surfaces and the top targets, both from one table of anchors."""
+    if anchors is None:
+        anchors = links.anchor_statistics(_links(spark, d), MIN_LINKS)
+    plain = match.plain_counts(pages(spark, d), links.candidates(anchors, MIN_LINKS))
+    top = anchors.where("target is not null").select("anchor", "target", "target_share")
+    return links.surface_stats(anchors.select("anchor", "freq_link"), plain, MIN_TOTAL), top
+
+
+@contextlib.contextmanager
+def _kept_statistics(spark: SparkSession, d: str) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The same, kept while lists are read from them several times."""
+    anchors = links.anchor_statistics(_links(spark, d), MIN_LINKS).persist()
+    stats, top = _statistics(spark, d, anchors)
+    stats.persist()
+    try:
+        yield stats, top
+    finally:
+        stats.unpersist()
+        anchors.unpersist()
+
+
+def _whitelist(stats: DataFrame, top: DataFrame) -> DataFrame:
+    return links.whitelist(stats, top, WHITE_P, WHITE_TOTAL, WHITE_SHARE)
 
 
 def surface_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _stats(spark, d)
+    return _statistics(spark, d)[0]
 
 
 def blacklist(spark: SparkSession, d: str) -> DataFrame:
-    return links.blacklist(_stats(spark, d), BLACK_P)
+    return links.blacklist(surface_stats(spark, d), BLACK_P)
 
 
 def whitelist(spark: SparkSession, d: str) -> DataFrame:
-    return links.whitelist(_stats(spark, d), top_target(spark, d), WHITE_P, WHITE_TOTAL, WHITE_SHARE)
+    return _whitelist(*_statistics(spark, d))
 
 
 def norm_text(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +152,11 @@ def bio_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def padded_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return dataset.labelled(pages(spark, d), keep=("page_id",)).drop("text")
+    """Each array as one string."""
+    listed = lambda c: F.array_join(c.cast("array<string>"), ",")
+    rows = dataset.labelled(pages(spark, d), keep=("page_id",))
+    names = {"input": "input", "attention_mask": "attention_mask", "offset_mapping.start": "starts", "offset_mapping.end": "ends", "output": "output"}
+    return rows.select("page_id", *[listed(F.col(c)).alias(n) for c, n in names.items()])
 
 
 def label_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -162,21 +189,27 @@ def mean_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unlink_blacklist(spark: SparkSession, d: str) -> DataFrame:
-    return pages(spark, d).select("page_id", rewrite.unlink(links.blacklist(_stats(spark, d), 0.3))(F.col("text")).alias("text"))
+    with _kept_statistics(spark, d) as (stats, _):
+        unlink = rewrite.unlink(links.blacklist(stats, 0.3))
+    return pages(spark, d).select("page_id", unlink(F.col("text")).alias("text"))
 
 
 def autolink_whitelist(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", rewrite.autolink(whitelist(spark, d))(F.col("text")).alias("text"))
+    with _kept_statistics(spark, d) as known:
+        autolink = rewrite.autolink(_whitelist(*known))
+    return docs.select("doc_id", autolink(F.col("text")).alias("text"))
 
 
 def rewritten_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return rewrite.rewritten(pages(spark, d), blacklist(spark, d), whitelist(spark, d), threshold=0.001, keep=("page_id",))
+    with _kept_statistics(spark, d) as (stats, top):
+        return rewrite.rewritten(pages(spark, d), links.blacklist(stats, BLACK_P), _whitelist(stats, top), threshold=0.001, keep=("page_id",))
 
 
 def annotate_html(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return annotate.annotate(docs, whitelist(spark, d)).select("doc_id", "html")
+    with _kept_statistics(spark, d) as known:
+        return annotate.annotate(docs, _whitelist(*known)).select("doc_id", "html")
 
 
 def split_sizes(spark: SparkSession, d: str) -> DataFrame:

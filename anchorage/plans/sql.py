@@ -1,6 +1,7 @@
 """The same queries in DuckDB SQL."""
 
 from ..functions.text import OTHER_NAMESPACES
+from ..operators.annotate import SEARCH
 from .queries import BLACK_P, MIN_LINKS, MIN_TOTAL, THRESHOLD, WHITE_P, WHITE_SHARE, WHITE_TOTAL
 
 _W = r"[\p{L}\p{N}_]"
@@ -92,6 +93,53 @@ s1 AS (SELECT page_id, pos, label, CASE WHEN label = 0 AND lag(label) OVER w > 0
   FROM seq WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
 sm AS (SELECT page_id, pos, label, CASE WHEN pos < last - 1 AND f > 0 AND lag(f) OVER w = 0 AND lead(f) OVER w = 0 THEN 0 ELSE f END AS tag FROM s1 WINDOW w AS (PARTITION BY page_id ORDER BY pos))
 """
+_PADDED = _BIO + rf""",
+wd AS (SELECT page_id, generate_subscripts(t, 1) AS pos, unnest(t) AS w FROM (SELECT page_id, regexp_extract_all(raw, '{_TOKEN}') AS t FROM raw)),
+ids AS (SELECT page_id, pos, CAST(2 + list_sum(list_transform(range(1, least(8, length(w)) + 1), lambda k: unicode(substr(w, CAST(k AS INT), 1)) * CAST(power(31, k - 1) AS BIGINT))) % 32000 AS BIGINT) AS id FROM wd),
+ln AS (SELECT raw.page_id, least(510, coalesce(max(pos), 0)) AS n FROM raw LEFT JOIN bio ON raw.page_id = bio.page_id GROUP BY raw.page_id),
+pl AS (SELECT page_id, n, unnest(range(0, 512)) AS k FROM ln),
+pd AS (SELECT pl.page_id, k, CASE WHEN k = 0 THEN 1 WHEN k = n + 1 THEN 2 WHEN k > n THEN 0 ELSE id END AS id, CASE WHEN k <= n + 1 THEN 1 ELSE 0 END AS mask,
+  CASE WHEN k <= n THEN coalesce(tok_start, 0) ELSE 0 END AS ts, CASE WHEN k <= n THEN coalesce(tok_end, 0) ELSE 0 END AS te, CASE WHEN k <= n THEN coalesce(label, -100) ELSE -100 END AS label
+  FROM pl LEFT JOIN bio ON bio.page_id = pl.page_id AND bio.pos = k LEFT JOIN ids ON ids.page_id = pl.page_id AND ids.pos = k)
+"""
+_UNLINKED = _STATS + r""",
+li AS (SELECT page_id, regexp_extract_all(text, '(?s)\[\[(.*?)\]\]', 1) AS i, regexp_split_to_array(text, '(?s)\[\[.*?\]\]') AS g FROM pg),
+lx AS (SELECT page_id, k, g[k] AS gap, i[k] AS x, trim(split_part(i[k], '|', 1)) AS target, CASE WHEN strpos(i[k], '|') > 0 THEN trim(substr(i[k], strpos(i[k], '|') + 1)) ELSE '' END AS anchor
+  FROM (SELECT page_id, i, g, generate_subscripts(g, 1) AS k FROM li)),
+ly AS (SELECT *, CASE WHEN anchor = '' THEN target ELSE anchor END AS shown FROM lx),
+ul AS (SELECT page_id, string_agg(gap || CASE WHEN x IS NULL THEN '' WHEN target <> '' AND trim(regexp_replace(trim(shown, '[] '), '\s+', ' ', 'g')) IN (SELECT anchor FROM st WHERE p_link <= 0.3) THEN shown
+  ELSE '[[' || x || ']]' END, '' ORDER BY k) AS text FROM ly GROUP BY page_id)
+"""
+#: Matches of the whitelist in documents (which hold no links): from the left, the longest first, none overlapping.
+_MATCHES = _STATS + rf""",
+wl AS (SELECT anchor, target, regexp_full_match(anchor, '(?s){_W}(.*{_W})?') AS bounded FROM st JOIN top USING (anchor) WHERE p_link >= {WHITE_P} AND total >= {WHITE_TOTAL} AND target_share >= {WHITE_SHARE}),
+sp AS (SELECT doc_id, text, anchor, target, bounded, string_split(text, anchor) AS p FROM documents JOIN wl ON contains(text, anchor)),
+oc AS (SELECT doc_id, text, anchor, target, bounded, k, p, CAST(sum(length(p[k])) OVER (PARTITION BY doc_id, anchor ORDER BY k) + (k - 1) * length(anchor) AS BIGINT) AS s
+  FROM (SELECT *, generate_subscripts(p, 1) AS k FROM sp)),
+mt AS (SELECT doc_id, s, s + length(anchor) AS e, target FROM oc WHERE k < len(p) AND (NOT bounded OR
+  NOT (s > 0 AND regexp_matches(substr(text, s, 1), '{_W}')) AND NOT regexp_matches(substr(text, s + length(anchor) + 1, 1), '{_W}'))),
+ks AS (SELECT doc_id, list_reduce(list_transform(list(struct_pack(s := s, e := e, t := target) ORDER BY s, e DESC), lambda x: [x]),
+  lambda a, b: CASE WHEN b[1].s >= a[-1].e THEN list_concat(a, b) ELSE a END) AS m FROM mt GROUP BY doc_id),
+kp AS (SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(m, recursive := true) FROM ks)
+"""
+_AUTOLINKED = _MATCHES + """,
+kq AS (SELECT doc_id, i, s, e, t, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY i), 0) AS pe FROM kp),
+bd AS (SELECT doc_id, string_agg(substr(text, pe + 1, s - pe) || '[[' || t || '|' || substr(text, s + 1, e - s) || ']]', '' ORDER BY i) AS head, max(e) AS last FROM kq JOIN documents USING (doc_id) GROUP BY doc_id)
+"""
+_HTML = _MATCHES + rf""",
+dt AS (SELECT doc_id, i, length(t[i]) AS n, length(g[i]) AS gap FROM (
+  SELECT doc_id, t, g, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS t, regexp_split_to_array(text, '{_TOKEN}') AS g FROM documents))),
+de AS (SELECT doc_id, i AS pos, CAST(sum(n + gap) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS te, n FROM dt),
+dg AS (SELECT de.doc_id, pos, te - n AS ts, CASE WHEN e > te - n THEN CASE WHEN s >= te - n THEN 1 ELSE 2 END ELSE 0 END AS tag FROM de ASOF LEFT JOIN kp ON de.doc_id = kp.doc_id AND de.te > kp.s),
+dq AS (SELECT * FROM dg UNION ALL SELECT doc_id, 0, NULL, 0 FROM documents UNION ALL SELECT doc_id, max(pos) + 1, NULL, 0 FROM dg GROUP BY doc_id),
+d1 AS (SELECT doc_id, pos, ts, CASE WHEN tag = 0 AND lag(tag) OVER w > 0 AND lead(tag) OVER w > 0 THEN 2 ELSE tag END AS f, max(pos) OVER (PARTITION BY doc_id) AS last FROM dq WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+d2 AS (SELECT doc_id, pos, ts, CASE WHEN pos < last - 1 AND f > 0 AND lag(f) OVER w = 0 AND lead(f) OVER w = 0 THEN 0 ELSE f END > 0 AS link FROM d1 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+d3 AS (SELECT *, coalesce(lag(link) OVER (PARTITION BY doc_id ORDER BY pos), false) AS before FROM d2 WHERE ts IS NOT NULL),
+d4 AS (SELECT doc_id, pos, link, ts AS a, lead(ts) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM d3 WHERE link <> before),
+d5 AS (SELECT doc_id, pos, text, a, coalesce(b, length(text)) AS b FROM d4 JOIN documents USING (doc_id) WHERE link),
+d6 AS (SELECT *, substr(text, a + 1, b - a) AS x, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS pe FROM d5),
+hb AS (SELECT doc_id, string_agg(substr(text, pe + 1, a - pe) || '<a href="{SEARCH}' || replace(url_encode(x), '%2F', '/') || '" >' || x || '</a>', '' ORDER BY pos) AS head, max(b) AS last FROM d6 GROUP BY doc_id)
+"""
 _DUMP = r"""
 dp AS (SELECT doc_id AS page_id, 'T' || doc_id AS title, CASE WHEN source = 'src3' THEN '#Redirection ' || text WHEN source = 'src5' THEN '' ELSE text END AS text FROM documents),
 dn AS (SELECT DISTINCT 'T' || doc_id AS title FROM labels)
@@ -129,6 +177,11 @@ SELECT doc_id, text, {_L} / {_T} AS link_ratio FROM f""",
     "strip_markup": f"WITH {_SEG} SELECT page_id, raw FROM raw",
     "segments": f"WITH {_SEG} SELECT * FROM sg WHERE seg_text <> ''",
     "bio_labels": f"WITH {_BIO} SELECT * FROM bio",
+    "padded_dataset": f"""WITH {_PADDED} SELECT page_id, string_agg(id, ',' ORDER BY k) AS input, string_agg(mask, ',' ORDER BY k) AS attention_mask, string_agg(ts, ',' ORDER BY k) AS starts,
+string_agg(te, ',' ORDER BY k) AS ends, string_agg(label, ',' ORDER BY k) AS output FROM pd GROUP BY page_id""",
+    "unlink_blacklist": f"WITH {_UNLINKED} SELECT page_id, text FROM ul",
+    "autolink_whitelist": f"WITH {_AUTOLINKED} SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS text FROM documents LEFT JOIN bd USING (doc_id)",
+    "annotate_html": f"WITH {_HTML} SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS html FROM documents LEFT JOIN hb USING (doc_id)",
     "label_histogram": f"WITH {_BIO} SELECT label, count(*) AS n FROM bio GROUP BY label",
     "class_weights": f"WITH {_BIO}, h AS (SELECT label, count(*) AS n FROM bio GROUP BY label), x AS (SELECT label, n, sum(n) OVER () / (3 * n) AS w FROM h) SELECT label, n, w / max(CASE WHEN label = 0 THEN w END) OVER () AS weight FROM x",
     "smoothing": f"WITH {_BIO} SELECT page_id, CAST(pos AS INT) AS pos, tag FROM sm",
