@@ -65,6 +65,16 @@ def _ratio(x: str) -> tuple[str, str]:
     return f"CAST(coalesce({linked}, 0) AS INT)", f"CAST(coalesce({linked}, 0) + coalesce({gaps}, 0) AS INT)"
 
 
+def _shown(x: str) -> tuple[str, str]:
+    """Words of what links show, with targets apart, and words outside."""
+    one = rf"CASE WHEN trim(split_part(i, '|', 1)) = '' THEN 0 WHEN strpos(i, '|') > 0 AND trim(substr(i, strpos(i, '|') + 1)) <> '' THEN len(regexp_extract_all(substr(i, strpos(i, '|') + 1), '{_WORDS}')) ELSE len(regexp_extract_all(split_part(i, '|', 1), '{_WORDS}')) END"
+    linked = rf"coalesce(list_sum(list_transform(regexp_extract_all({x}, '(?s)\[\[(.*?)\]\]', 1), lambda i: {one})), 0)"
+    gaps = rf"coalesce(list_sum(list_transform(regexp_split_to_array({x}, '(?s)\[\[.*?\]\]'), lambda g: len(regexp_extract_all(g, '{_WORDS}')))), 0)"
+    return linked, gaps
+
+
+_VP, _WP = _shown("p")
+_VT, _WT = _shown("text")
 _L, _T = _ratio("text")
 _LP, _TP = _ratio("p")
 
@@ -102,30 +112,57 @@ pd AS (SELECT pl.page_id, k, CASE WHEN k = 0 THEN 1 WHEN k = n + 1 THEN 2 WHEN k
   CASE WHEN k <= n THEN coalesce(tok_start, 0) ELSE 0 END AS ts, CASE WHEN k <= n THEN coalesce(tok_end, 0) ELSE 0 END AS te, CASE WHEN k <= n THEN coalesce(label, -100) ELSE -100 END AS label
   FROM pl LEFT JOIN bio ON bio.page_id = pl.page_id AND bio.pos = k LEFT JOIN ids ON ids.page_id = pl.page_id AND ids.pos = k)
 """
-_UNLINKED = _STATS + r""",
-li AS (SELECT page_id, regexp_extract_all(text, '(?s)\[\[(.*?)\]\]', 1) AS i, regexp_split_to_array(text, '(?s)\[\[.*?\]\]') AS g FROM pg),
+
+
+def _unlinked(source: str, p: float) -> str:
+    return rf"""
+li AS (SELECT page_id, regexp_extract_all(text, '(?s)\[\[(.*?)\]\]', 1) AS i, regexp_split_to_array(text, '(?s)\[\[.*?\]\]') AS g FROM {source}),
 lx AS (SELECT page_id, k, g[k] AS gap, i[k] AS x, trim(split_part(i[k], '|', 1)) AS target, CASE WHEN strpos(i[k], '|') > 0 THEN trim(substr(i[k], strpos(i[k], '|') + 1)) ELSE '' END AS anchor
   FROM (SELECT page_id, i, g, generate_subscripts(g, 1) AS k FROM li)),
 ly AS (SELECT *, CASE WHEN anchor = '' THEN target ELSE anchor END AS shown FROM lx),
-ul AS (SELECT page_id, string_agg(gap || CASE WHEN x IS NULL THEN '' WHEN target <> '' AND trim(regexp_replace(trim(shown, '[] '), '\s+', ' ', 'g')) IN (SELECT anchor FROM st WHERE p_link <= 0.3) THEN shown
+ul AS (SELECT page_id, string_agg(gap || CASE WHEN x IS NULL THEN '' WHEN target <> '' AND trim(regexp_replace(trim(shown, '[] '), '\s+', ' ', 'g')) IN (SELECT anchor FROM st WHERE p_link <= {p}) THEN shown
   ELSE '[[' || x || ']]' END, '' ORDER BY k) AS text FROM ly GROUP BY page_id)
 """
-#: Matches of the whitelist in documents (which hold no links): from the left, the longest first, none overlapping.
-_MATCHES = _STATS + rf""",
+
+
+#: Normalise, unlink, find the links that are left, link, and keep the paragraphs that hold links.
+_REWRITTEN = _STATS + rf""",
+nt AS (SELECT page_id, nfc_normalize(translate(text, chr(160) || '’‘ʼ`´', ' ' || repeat(chr(39), 5))) AS text FROM pg WHERE text <> ''),""" + _unlinked("nt", BLACK_P) + r""",
+lz AS (SELECT page_id, regexp_extract_all(text, '(?s)\[\[.*?\]\]') AS i, regexp_split_to_array(text, '(?s)\[\[.*?\]\]') AS g FROM ul),
+ls AS (SELECT page_id, CAST(sum(length(g[k]) + length(i[k])) OVER (PARTITION BY page_id ORDER BY k) AS BIGINT) AS le, length(i[k]) AS n FROM (SELECT *, generate_subscripts(i, 1) AS k FROM lz)),
+lspans AS (SELECT page_id, le - n AS ls, le FROM ls),""" + "__MATCHES__" + r""",
+rp AS (SELECT page_id, list_filter(list_transform(string_split(text, E'\n\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM al2),
+rk AS (SELECT page_id, k, ps[k] AS p FROM (SELECT *, generate_subscripts(ps, 1) AS k FROM rp))
+"""
+
+
+def _matches(source: str, key: str, linked: str = "") -> str:
+    """Matches of the whitelist in texts: outside links, from the left, the longest first, none overlapping."""
+    outside = f"AND NOT EXISTS (SELECT 1 FROM {linked} AS z WHERE z.{key} = oc.{key} AND z.ls < oc.s + length(anchor) AND z.le > oc.s)" if linked else ""
+    return rf"""
 wl AS (SELECT anchor, target, regexp_full_match(anchor, '(?s){_W}(.*{_W})?') AS bounded FROM st JOIN top USING (anchor) WHERE p_link >= {WHITE_P} AND total >= {WHITE_TOTAL} AND target_share >= {WHITE_SHARE}),
-sp AS (SELECT doc_id, text, anchor, target, bounded, string_split(text, anchor) AS p FROM documents JOIN wl ON contains(text, anchor)),
-oc AS (SELECT doc_id, text, anchor, target, bounded, k, p, CAST(sum(length(p[k])) OVER (PARTITION BY doc_id, anchor ORDER BY k) + (k - 1) * length(anchor) AS BIGINT) AS s
+sp AS (SELECT {key}, text, anchor, target, bounded, string_split(text, anchor) AS p FROM {source} JOIN wl ON contains(text, anchor)),
+oc AS (SELECT {key}, text, anchor, target, bounded, k, p, CAST(sum(length(p[k])) OVER (PARTITION BY {key}, anchor ORDER BY k) + (k - 1) * length(anchor) AS BIGINT) AS s
   FROM (SELECT *, generate_subscripts(p, 1) AS k FROM sp)),
-mt AS (SELECT doc_id, s, s + length(anchor) AS e, target FROM oc WHERE k < len(p) AND (NOT bounded OR
-  NOT (s > 0 AND regexp_matches(substr(text, s, 1), '{_W}')) AND NOT regexp_matches(substr(text, s + length(anchor) + 1, 1), '{_W}'))),
-ks AS (SELECT doc_id, list_reduce(list_transform(list(struct_pack(s := s, e := e, t := target) ORDER BY s, e DESC), lambda x: [x]),
-  lambda a, b: CASE WHEN b[1].s >= a[-1].e THEN list_concat(a, b) ELSE a END) AS m FROM mt GROUP BY doc_id),
-kp AS (SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(m, recursive := true) FROM ks)
+mt AS (SELECT {key}, s, s + length(anchor) AS e, target FROM oc WHERE k < len(p) AND (NOT bounded OR
+  NOT (s > 0 AND regexp_matches(substr(text, s, 1), '{_W}')) AND NOT regexp_matches(substr(text, s + length(anchor) + 1, 1), '{_W}')) {outside}),
+ks AS (SELECT {key}, list_reduce(list_transform(list(struct_pack(s := s, e := e, t := target) ORDER BY s, e DESC), lambda x: [x]),
+  lambda a, b: CASE WHEN b[1].s >= a[-1].e THEN list_concat(a, b) ELSE a END) AS m FROM mt GROUP BY {key}),
+kp AS (SELECT {key}, generate_subscripts(m, 1) AS i, unnest(m, recursive := true) FROM ks)
 """
-_AUTOLINKED = _MATCHES + """,
-kq AS (SELECT doc_id, i, s, e, t, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY i), 0) AS pe FROM kp),
-bd AS (SELECT doc_id, string_agg(substr(text, pe + 1, s - pe) || '[[' || t || '|' || substr(text, s + 1, e - s) || ']]', '' ORDER BY i) AS head, max(e) AS last FROM kq JOIN documents USING (doc_id) GROUP BY doc_id)
+
+
+def _autolinked(source: str, key: str) -> str:
+    return f"""
+kq AS (SELECT {key}, i, s, e, t, coalesce(lag(e) OVER (PARTITION BY {key} ORDER BY i), 0) AS pe FROM kp),
+bd AS (SELECT {key}, string_agg(substr(text, pe + 1, s - pe) || '[[' || t || '|' || substr(text, s + 1, e - s) || ']]', '' ORDER BY i) AS head, max(e) AS last FROM kq JOIN {source} USING ({key}) GROUP BY {key}),
+al2 AS (SELECT {key}, CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS text FROM {source} LEFT JOIN bd USING ({key}))
 """
+
+
+_REWRITTEN = _REWRITTEN.replace("__MATCHES__", _matches("ul", "page_id", "lspans") + "," + _autolinked("ul", "page_id"))
+_MATCHES = _STATS + "," + _matches("documents", "doc_id")
+_AUTOLINKED = _MATCHES + "," + _autolinked("documents", "doc_id")
 _HTML = _MATCHES + rf""",
 dt AS (SELECT doc_id, i, length(t[i]) AS n, length(g[i]) AS gap FROM (
   SELECT doc_id, t, g, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{_TOKEN}') AS t, regexp_split_to_array(text, '{_TOKEN}') AS g FROM documents))),
@@ -179,8 +216,10 @@ SELECT doc_id, text, {_L} / {_T} AS link_ratio FROM f""",
     "bio_labels": f"WITH {_BIO} SELECT * FROM bio",
     "padded_dataset": f"""WITH {_PADDED} SELECT page_id, string_agg(id, ',' ORDER BY k) AS input, string_agg(mask, ',' ORDER BY k) AS attention_mask, string_agg(ts, ',' ORDER BY k) AS starts,
 string_agg(te, ',' ORDER BY k) AS ends, string_agg(label, ',' ORDER BY k) AS output FROM pd GROUP BY page_id""",
-    "unlink_blacklist": f"WITH {_UNLINKED} SELECT page_id, text FROM ul",
-    "autolink_whitelist": f"WITH {_AUTOLINKED} SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS text FROM documents LEFT JOIN bd USING (doc_id)",
+    "unlink_blacklist": f"WITH {_STATS}, {_unlinked('pg', 0.3)} SELECT page_id, text FROM ul",
+    "rewritten_corpus": f"""WITH {_REWRITTEN}, rf AS (SELECT page_id, string_agg(p, E'\\n\\n' ORDER BY k) AS text FROM rk WHERE {_VP} + {_WP} > 0 AND {_VP} / ({_VP} + {_WP}) > 0.001 GROUP BY page_id)
+SELECT page_id, text, CAST({_VT} / ({_VT} + {_WT}) AS FLOAT) AS link_ratio FROM rf""",
+    "autolink_whitelist": f"WITH {_AUTOLINKED} SELECT doc_id, text FROM al2",
     "annotate_html": f"WITH {_HTML} SELECT doc_id, CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS html FROM documents LEFT JOIN hb USING (doc_id)",
     "label_histogram": f"WITH {_BIO} SELECT label, count(*) AS n FROM bio GROUP BY label",
     "class_weights": f"WITH {_BIO}, h AS (SELECT label, count(*) AS n FROM bio GROUP BY label), x AS (SELECT label, n, sum(n) OVER () / (3 * n) AS w FROM h) SELECT label, n, w / max(CASE WHEN label = 0 THEN w END) OVER () AS weight FROM x",
