@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier with template comparison.
 
-Paragraphs are a text's lines. Sparse word n-grams (one to three words) feed a softmax
+Paragraphs are a text's lines, and, as notices are often wrapped, all lines between two blank ones
+together where no line alone is confirmed. Sparse word n-grams (one to three words) feed a softmax
 regression over licence families and an unknown class, trained here on notices made from the
 templates below and on ordinary prose; its temperature is calibrated on held-out notices. A
 predicted family is confirmed where the paragraph shares enough word pairs with one of the
@@ -17,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import documents
+from .base import documents, without
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 #: Least calibrated probability of a family, and least share of the template's or paragraph's word pairs.
 PROBABLE, CONFIRMED = 0.6, 0.5
 NOTICES_EACH = 120
+#: Word pairs in common that confirm a part of a notice.
+ENOUGH = 8
 
 #: Short notices of each family (fixed values).
 TEMPLATES = {
@@ -93,9 +96,11 @@ _TEMPLATE_PAIRS = {f: [_pairs(words(t)) for t in ts] for f, ts in TEMPLATES.item
 
 
 def similarity(ws: list[str], family: str) -> float:
-    """Best share of word pairs that a template has in common with the paragraph, by the template's."""
+    """Best share of word pairs that a template has in common with the paragraph: by the template's,
+    or, with ENOUGH of them, by the paragraph's, as a part of a notice is one too."""
     own = _pairs(ws)
-    return max(len(own & t) / len(t) for t in _TEMPLATE_PAIRS[family])
+    shared = [(len(own & t), len(t)) for t in _TEMPLATE_PAIRS[family]]
+    return max(max(k / n, k / len(own) if k >= ENOUGH else 0.0) for k, n in shared)
 
 
 def _notices(rng: np.random.Generator, family: str, n: int) -> list[list[str]]:
@@ -174,12 +179,40 @@ def train(seed: int = 7) -> Scanner:
     return Scanner(families, vocabulary, w, temperature, frozenset(cues))
 
 
+def wrapped(model: Scanner, lines: list[str], found: list[dict]) -> list[dict]:
+    """The findings, where the lines of a block are confirmed together instead of line by line."""
+    out = []
+    for first, last in blocks(lines, [f["line"] for f in found]):
+        inside = [f for f in found if first <= f["line"] < last]
+        whole = None if any(f["confirmed"] for f in inside) or last - first == 1 else model.classify(" ".join(lines[first:last]))
+        out += [{"line": first, "family": whole[0], "probability": whole[1], "confirmed": True}] if whole and whole[2] else inside
+    return out
+
+
+def blocks(lines: list[str], hits: list[int]) -> list[tuple[int, int]]:
+    """First line and end of the blocks, between blank lines, that hold hits."""
+    out: list[tuple[int, int]] = []
+    for k in hits:
+        if out and k < out[-1][1]:
+            continue
+        first = last = k
+        while first and lines[first - 1].strip():
+            first -= 1
+        while last < len(lines) and lines[last].strip():
+            last += 1
+        out.append((first, last))
+    return out
+
+
 def scanned(df: DataFrame, text: str = "text", scanner: Scanner | None = None) -> DataFrame:
     """df with ``licenses``: a struct (line, family, probability, confirmed) a licence paragraph.
 
-    Whole texts; null and empty texts have none. Repeated rows get equal results. The scanner is
-    a few hundred kB and is broadcast.
+    A wrapped notice has the line that its block begins at. Whole texts, also very long ones; null
+    and empty texts have none. Repeated rows get equal results, an empty table gives no rows, and
+    a column of df named ``licenses`` gives way to the result. The scanner is a few hundred kB and
+    is broadcast.
     """
+    df = without(df, "licenses")
     shared = df.sparkSession.sparkContext.broadcast(scanner or train())
     at, names = df.columns.index(text), [*df.columns, "licenses"]
     kind = pa.list_(pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("confirmed", pa.bool_())]))
@@ -204,6 +237,8 @@ def scanned(df: DataFrame, text: str = "text", scanner: Scanner | None = None) -
                     if known[line]:
                         family, p, sure = known[line]
                         found.append({"line": k, "family": family, "probability": p, "confirmed": sure})
+                if found and not all(f["confirmed"] for f in found):
+                    found = wrapped(model, low, found)
                 out.append(found)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names)
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import without
+
 TOKEN = re.compile(r"[a-z0-9]+")
 #: The rule list is broadcast; longer ones are an error.
 MOST_RULES = 1_000_000
@@ -46,6 +48,66 @@ class Rule:
         return TOKEN.findall(self.host) + TOKEN.findall(closed.lower())
 
 
+def literals(expression: str) -> list[str]:
+    """Runs of characters that each match of an expression holds, with ``^`` and ``$`` where it is bound there.
+
+    Only the top level counts: groups, classes and what a quantifier may leave out end a run, and
+    an alternation outside groups leaves none.
+    """
+    runs, run, i = [], "", 0
+    while i < len(expression):
+        c, known = expression[i], None
+        if c == "\\" and i + 1 < len(expression):
+            known = None if expression[i + 1].isalnum() else expression[i + 1]
+            i += 2
+        elif c == "[":
+            i = expression.index("]", i + (3 if expression.startswith("[^", i) else 2)) + 1
+        elif c == "(":
+            depth, i = 1, i + 1
+            while depth:
+                if expression[i] == "[":
+                    i = expression.index("]", i + (3 if expression.startswith("[^", i) else 2))
+                depth += {"(": 1, ")": -1}.get(expression[i], 0)
+                i += 2 if expression[i] == "\\" else 1
+        elif c == "|":
+            return []
+        else:
+            known = None if c == "." else c
+            i += 1
+        after = expression[i : i + 1]
+        if c in "^$":
+            run += c
+        elif known is None or (after and after in "*?{"):
+            runs.append(run)
+            run = ""
+        else:
+            run += known
+            if after == "+":
+                runs.append(run)
+                run = ""
+        while after and after in "*?+{":
+            i = expression.index("}", i) + 1 if after == "{" else i + 1
+            after = expression[i : i + 1]
+    return [r for r in [*runs, run] if r]
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """A rule by expression: fits where it is found in the host and path, which a line end parts."""
+
+    verdict: str
+    pattern: str
+
+    @property
+    def name(self) -> str:
+        return self.pattern
+
+    @property
+    def tokens(self) -> list[str]:
+        """Tokens that each match holds whole: those in its literals that other characters enclose."""
+        return [t for run in literals(self.pattern) for t in re.findall(r"(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9])", run.lower())]
+
+
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 
 
@@ -69,7 +131,8 @@ class Index:
         self.by_token: dict[str, list[int]] = {}
         self.rest: list[int] = []
         self.rules = rules
-        self.compiled = [re.compile(r.pattern, re.DOTALL) for r in rules]
+        compiled = [re.compile(r.pattern, re.DOTALL) for r in rules]
+        self.fits = [c.search if isinstance(r, Pattern) else c.match for c, r in zip(compiled, rules, strict=True)]
         for i, r in enumerate(rules):
             if r.tokens:
                 self.by_token.setdefault(min(r.tokens, key=lambda t: (frequency.get(t, 0), t)), []).append(i)
@@ -80,22 +143,29 @@ class Index:
         """The number of the rule that wins."""
         subject = f"{host}\n{path}"
         tried = {i for t in set(TOKEN.findall(subject.lower())) for i in self.by_token.get(t, ())}
-        fits = [i for i in [*tried, *self.rest] if self.compiled[i].match(subject)]
+        fits = [i for i in [*tried, *self.rest] if self.fits[i](subject)]
         return min(fits, key=lambda i: (-len(self.rules[i].name), i), default=None)
 
 
-def token_frequency(urls: DataFrame, column: str, rules: list[Rule]) -> dict[str, int]:
+def token_frequency(urls: DataFrame, column: str, rules: list[Rule | Pattern]) -> dict[str, int]:
     """How many URLs have each token of the rules: all rows, one small row a token."""
     wanted = sorted({t for r in rules for t in r.tokens})
     if not wanted:
         return {}
-    words = F.array_intersect(F.split(F.lower(column), "[^a-z0-9]+"), F.array(*[F.lit(t) for t in wanted]))
-    rows = urls.select(F.explode(words).alias("token")).groupBy("token").count().collect()
-    return {r.token: r["count"] for r in rows}
+    tokens = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    words = F.array_distinct(F.split(F.lower(F.col(column)), "[^a-z0-9]+"))
+    found = urls.select(F.explode(words).alias("token")).join(F.broadcast(tokens), "token")  # as large as the rules
+    return {r.token: r["count"] for r in found.groupBy("token").count().collect()}
+
 
+def judged(df: DataFrame, rules: list[Rule | Pattern] | tuple[Rule | Pattern, ...] = RULES, url: str = "url", default: str = DEFAULT) -> DataFrame:
+    """df with ``host, path, rule, verdict``; columns of df of these names give way to them.
 
-def judged(df: DataFrame, rules: list[Rule] | tuple[Rule, ...] = RULES, url: str = "url", default: str = DEFAULT) -> DataFrame:
-    """df with ``host, path, rule, verdict``. Each row is judged by itself, so repeated rows agree."""
+    Each row is judged by itself, so repeated rows agree; URLs may be long. Null and what has no
+    ``://`` has an empty host and path. Of rules of one length the first wins. An empty table
+    gives no rows.
+    """
+    df = without(df, "host", "path", "rule", "verdict")
     rules = list(rules)
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")

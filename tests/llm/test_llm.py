@@ -445,6 +445,51 @@ def test_urls(spark):
     df = spark.createDataFrame([(u,) for u in cases], "url string")
     assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filters.judged(df).collect()} == cases
     assert url_filters.judged(df.limit(0)).count() == 0
+    more = df.select("url", F.lit(1).alias("Host"), F.lit(2).alias("rule"))
+    assert url_filters.judged(more).columns == ["url", "host", "path", "rule", "verdict"]
+    assert url_filters.judged(spark.createDataFrame([("http://net/" + "a" * 1_000_000,)], "url string")).first().verdict == "block"
+
+
+def test_literals_of_expressions():
+    for expression, want in {
+        r"^ads\.": ["^ads."], r"/track(?:er)?/[0-9]+/px\.gif$": ["/track", "/", "/px.gif$"], r"a|b": [], r"/x+y?z{2}/end/": ["/x", "/end/"],
+        r"/[^/]+/[]]/(a(b)[)]|c)/in/": ["/", "/", "/", "/in/"], r"\d/\w-b\b": ["/", "-b"],
+    }.items():
+        assert url_filters.literals(expression.replace("\\\\", "\\")) == want
+    assert url_filters.Pattern("block", r"/ad/\d+/banner\.gif").tokens == ["ad", "banner"]
+
+
+def test_many_rules_against_trying_each(spark):
+    import re
+
+    rng = random.Random(12)
+    words = [f"t{k}" for k in range(60)] + ["ads", "track", "x1"]
+    word = lambda: rng.choice(words)
+    rules = []
+    for k in range(1000):
+        verdict = rng.choice(["allow", "block"])
+        kind = rng.randrange(5)
+        if kind < 2:
+            rules.append(url_filters.Rule(verdict, f"{word()}.{word()}" if kind else word(), rng.choice(["/", f"/{word()}/", f"/{word()[:2]}"])))
+        else:
+            expression = [rf"/{word()}/\d+/", rf"^{word()}\.(?:{word()}|{word()})", rf"{word()}[-_]?{word()}/", rf"({word()})+/{word()}$", rf"/{word()}|/{word()}/{word()}", rf"/{word()}-{word()}/?$"][k % 6]
+            rules.append(url_filters.Pattern(verdict, expression))
+    urls = [f"http://{word()}.{word()}/{word()}{rng.choice(['/', '-', '/7/', ''])}{word()}{rng.choice(['', '/', '?q'])}" for _ in range(400)]
+    got = {r.url: (r.rule, r.verdict) for r in url_filters.judged(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    hits = 0
+    for u in urls:
+        host, path = url_filters.parts(u)
+        best = None
+        for r in rules:
+            if isinstance(r, url_filters.Pattern):
+                fits = re.search(r.pattern, f"{host}\n{path}", re.DOTALL)
+            else:
+                fits = (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)
+            if fits and (best is None or len(r.name) > len(best.name)):
+                best = r
+        hits += best is not None
+        assert got[u] == ((best.name, best.verdict) if best else (None, "allow")), u
+    assert hits > 100
 
 
 def test_surrogates(spark):
@@ -509,6 +554,12 @@ def test_surrogates_are_distinct(spark):
 def test_licenses(spark):
     rows = [(1, "Some words.\nReleased under the MIT License."), (2, "Licensed under CC BY-NC 4.0."), (3, "The driver showed a license at the border."), (4, None), (5, ""), (6, "All rights reserved.\nmore")]
     got = {r.doc_id: [(x.line, x.family, x.confirmed) for x in r.licenses] for r in licenses.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    notice = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and\nassociated documentation files, to deal in the\nSoftware without restriction."
+    more = spark.createDataFrame([(1, f"prose\n\n{notice}\n\nmore prose", 0), (2, "w " * 500_000 + "\nAll rights reserved.", 0), (2, "x", 0)], "id int, text string, LICENSES int")
+    found = licenses.scanned(more)
+    assert found.columns == ["id", "text", "licenses"] and licenses.scanned(more.limit(0)).count() == 0
+    by = sorted((r.id, [(x.line, x.family, x.confirmed) for x in r.licenses]) for r in found.collect())
+    assert by == [(1, [(2, "mit", True)]), (2, []), (2, [(1, "proprietary", True)])]
     assert got == {1: [(1, "mit", True)], 2: [(0, "cc-by-nc", True)], 3: [], 4: [], 5: [], 6: [(0, "proprietary", True)]}
 
 
