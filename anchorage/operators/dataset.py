@@ -101,7 +101,7 @@ def labelled(df: DataFrame, text: str = "text", encode: Encoder = word_encoder,
 def label_histogram(df: DataFrame, output: str = "output") -> DataFrame:
     """``label, count`` without ignored labels."""
     rows = df.select(F.explode(output).alias("label")).where(F.col("label") != IGNORED)
-    return rows.groupBy("label").agg(F.count("*").alias("count"))
+    return rows.groupBy("label").agg(F.count("*").alias("count")).orderBy("label")  # a row a class
 
 
 def class_weights(histogram: DataFrame, classes: int = 3) -> DataFrame:

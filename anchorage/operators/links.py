@@ -33,9 +33,9 @@ def candidates(counts: DataFrame, at_least: int) -> DataFrame:
     return counts.where(F.col("freq_link") >= at_least)
 
 
-def anchor_target_counts(links: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
-    """``anchor, target, pair_count``, of the given anchors only."""
-    rows = links.where(F.col("target") != "")
+def anchor_target_counts(links: DataFrame, anchors: DataFrame | None = None, empty: bool = False) -> DataFrame:
+    """``anchor, target, pair_count``, of the given anchors only; empty targets only if asked for."""
+    rows = links if empty else links.where(F.col("target") != "")
     if anchors is not None:
         rows = rows.join(anchors.select("anchor"), "anchor", "left_semi")
     return rows.groupBy("anchor", "target").agg(F.count("*").alias("pair_count"))

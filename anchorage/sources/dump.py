@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ log = logging.getLogger(__name__)
 PAGE = T.StructType().add("title", "string").add("ns", "string").add("id", "long").add("revision", T.StructType().add("text", "string"))
 SHARD = "title string, text string"
 SHARD_ROWS = 50_000
-SHARD_GLOB = "wiki_shard_*.parquet"
+SHARD_GLOB, SHARD_NAME = "wiki_shard_*.parquet", "wiki_shard_%05d.parquet"
+UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 DATASET = "text string, input array<int>, attention_mask array<int>, offset_mapping array<struct<start:int,end:int>>, output array<int>"
 _JSON = ("input", "attention_mask", "offset_mapping", "output")
 
@@ -27,7 +30,7 @@ def read_dump(spark: SparkSession, path: str, partitions: int | None = None) ->
     after the scan; give a multi-file dump as a folder or glob to read files side by side.
     """
     raw = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(PAGE).load(path)
-    rows = raw.where(F.trim("ns") == "0").select(F.coalesce("id", F.lit(0)).alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("revision.text", F.lit("")).alias("text"))
+    rows = raw.where(F.col("ns") == "0").select(F.coalesce("id", F.lit(0)).alias("page_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("revision.text", F.lit("")).alias("text"))
     return rows.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
@@ -80,35 +83,60 @@ def log_errors(errors: DataFrame, most: int = 50) -> int:
 
 
 def format_duration(seconds: float) -> str:
-    h, rest = divmod(int(seconds), 3600)
-    return f"{h:02d}:{rest // 60:02d}:{rest % 60:02d}"
+    """Hours, minutes and seconds."""
+    whole = int(seconds)
+    return ":".join(f"{part:02d}" for part in (whole // 3600, whole // 60 % 60, whole % 60))
 
 
 def format_size(size: float) -> str:
-    for unit in ("B", "KB", "MB", "GB"):
-        if size < 1024:
-            return f"{size:.1f} {unit}"
-        size /= 1024
-    return f"{size:.1f} TB"
+    """In the largest of the binary units that leaves at least one."""
+    power = 0 if size < 1 else min(len(UNITS) - 1, int(math.log(size, 1024) + 1e-12))
+    return f"{size / 1024**power:.1f} {UNITS[power]}"
 
 
-def write_shards(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Cleaned articles in files of at most 50,000 rows."""
-    df.select("title", "text").write.mode(mode).option("maxRecordsPerFile", SHARD_ROWS).option("compression", "snappy").parquet(path)
+def _files(spark: SparkSession, path: str, glob: str) -> list:
+    """Hadoop's status of the files of a folder, by name; none where the folder is missing."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(system.globStatus(pattern) or [], key=lambda f: f.getPath().getName())
+
+
+def write_shards(df: DataFrame, path: str) -> tuple[int, int]:
+    """Cleaned articles in files of at most 50,000 rows; how many files and bytes.
+
+    Tasks write to a folder of their own, then the driver gives the files their names, which go on
+    from those that are there. Only names pass through the driver; a run that is lost leaves the
+    shards as they were.
+    """
+    spark = df.sparkSession
+    fresh = f"{path}/_new-{uuid.uuid4().hex}"
+    df.select("title", "text").write.option("maxRecordsPerFile", SHARD_ROWS).option("compression", "snappy").parquet(fresh)
+    known = [int(f.getPath().getName()[len("wiki_shard_") : -len(".parquet")]) for f in _files(spark, path, SHARD_GLOB)]
+    first = max(known, default=-1) + 1
+    written = _files(spark, fresh, "part-*")
+    hadoop, system = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, None
+    for k, f in enumerate(written, first):
+        system = f.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.rename(f.getPath(), hadoop(f"{path}/{SHARD_NAME % k}"))
+    if system:
+        system.delete(hadoop(fresh), True)
+    return len(written), sum(f.getLen() for f in written)
 
 
 def read_shards(spark: SparkSession, path: str, glob: str = SHARD_GLOB) -> DataFrame:
-    """All shards of a folder; an error if there are none. Spark's own part files: ``glob='*.parquet'``."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/{glob}")
-    if not pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern):
+    """All shards of a folder; an error if there are none."""
+    if not _files(spark, path, glob):
         raise FileNotFoundError(f"no {glob} in {path}")
     return spark.read.option("pathGlobFilter", glob).parquet(path)
 
 
+def has_shards(spark: SparkSession, path: str) -> bool:
+    return bool(_files(spark, path, SHARD_GLOB))
+
+
 def done_titles(spark: SparkSession, path: str) -> DataFrame:
     """The resume index: titles of shards that are written already. Titles can't collide as hashes can."""
-    return spark.read.parquet(path).select("title").distinct()
+    return read_shards(spark, path).select("title").distinct()
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -116,6 +144,16 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def write_rewritten(df: DataFrame, path: str) -> None:
+    """A rewritten corpus, in a folder for each file that its articles came from (column ``file``)."""
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy("file").parquet(path)
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled dataset as ``write_dataset`` leaves it."""
+    return spark.read.schema(DATASET).parquet(path)
+
+
 def write_dataset(df: DataFrame, path: str, csv: str | None = None) -> None:
     """The labelled dataset as Parquet and, if asked for, CSV with arrays as JSON."""
     df.write.mode("overwrite").parquet(path)

@@ -125,13 +125,39 @@ def test_dump(spark, tmp_path):
     good, bad = dump.extract(pages)
     assert {r.title: r.text for r in good.collect()}["T1"] == "un [[deux]]" and dump.log_errors(bad) == 0
     dump.write_shards(good, str(tmp_path / "s"))
-    again = dump.read_shards(spark, str(tmp_path / "s"), "*.parquet")
+    again = dump.read_shards(spark, str(tmp_path / "s"))
     assert dump.articles(pages, dump.done_titles(spark, str(tmp_path / "s"))).count() == 0 and again.count() == 2
     with pytest.raises(FileNotFoundError):
-        dump.read_shards(spark, str(tmp_path / "s"))
+        dump.read_shards(spark, str(tmp_path / "s"), "other_*.parquet")
+    assert dump.write_shards(again, str(tmp_path / "s"))[0] >= 1
+    names = sorted(p.name for p in (tmp_path / "s").glob("*.parquet"))
+    assert names == [f"wiki_shard_{k:05d}.parquet" for k in range(len(names))] and dump.read_shards(spark, str(tmp_path / "s")).count() == 4
     rows = dataset.labelled(spark.createDataFrame([('a "q"\n[[b]]',)], "text string"), max_length=4)
     dump.write_dataset(rows, str(tmp_path / "p"), str(tmp_path / "c"))
-    assert dump.read_dataset_csv(spark, str(tmp_path / "c")).collect() == rows.collect()
+    assert dump.read_dataset_csv(spark, str(tmp_path / "c")).collect() == rows.collect() == dump.read_dataset(spark, str(tmp_path / "p")).collect()
+    assert [dump.format_size(x) for x in (0, 1023, 1024, 3 << 20, 5 * 1024**5, 1024**6)] == ["0.0 B", "1023.0 B", "1.0 KB", "3.0 MB", "5.0 PB", "1024.0 PB"]
+    assert dump.format_duration(3661.9) == "01:01:01" and dump.format_duration(360_000) == "100:00:00"
+
+
+def test_programs(spark, tmp_path):
+    """A dump to shards, in two runs, and shards to the rewritten corpus."""
+    from anchorage.plans import programs
+
+    texts = ["[[Paris|la ville]] et [[Lyon]] ou Lyon.", "Une [[Lyon]] et Lyon, [[Lyon]] Lyon Lyon", "#REDIRECT [[x]]", "", "x [[Paris|la ville]], la ville."]
+    pages = "".join(f"<page><title>T{i}</title><ns>0</ns><id>{i}</id><revision><text>{x}</text></revision></page>" for i, x in enumerate(texts))
+    (tmp_path / "d.xml").write_text(f"<mediawiki>{pages}</mediawiki>")
+    shards = str(tmp_path / "shards")
+    one = programs.extract(spark, str(tmp_path / "d.xml"), shards, limit=1, partitions=2)
+    two = programs.extract(spark, str(tmp_path / "d.xml"), shards, partitions=2)
+    assert (one["pages"], one["redirects"], one["empty"], one["cleaned"], one["errors"]) == (5, 1, 1, 1, 0)
+    assert (two["already_done"], two["to_clean"], two["cleaned"]) == (1, 2, 2) and two["bytes"] > 0
+    assert programs.extract(spark, str(tmp_path / "d.xml"), shards)["cleaned"] == 0
+    out = programs.build(spark, shards, str(tmp_path / "work"), str(tmp_path / "out"), min_total=1, min_link_for_plain_count=1, whitelist_p=0.3, whitelist_min_total=2, whitelist_target_share=0.5, blacklist_p=0.01)
+    stats = {r.anchor: (r.freq_link, r.freq_text) for r in out["surface_stats"].collect()}
+    assert stats == {"la ville": (2, 1), "Lyon": (3, 4)} and {r.anchor: r.target for r in out["whitelist"].collect()} == {"la ville": "Paris", "Lyon": "Lyon"}
+    got = {r.title: r.text for r in out["articles"].collect()}
+    assert got["T0"] == "[[Paris|la ville]] et [[Lyon]] ou [[Lyon|Lyon]]." and got["T4"] == "x [[Paris|la ville]], [[Paris|la ville]]."
+    assert {r.file for r in out["articles"].select("file").collect()} <= {p.stem for p in (tmp_path / "shards").glob("wiki_shard_*")}
 
 
 def test_stream(spark, tmp_path):
