@@ -41,7 +41,7 @@ def token_accuracy(df: DataFrame, predicted: str, gold: str) -> DataFrame:
 def mean_loss(df: DataFrame, logits: str, gold: str, key: str, weights: list[float] | None = None, batch: int = 128) -> DataFrame:
     """``loss``: the sum over batches of 128 rows, by key, of weighted cross entropy, by n // 128 + 1."""
     w = F.array(*[F.lit(float(x)) for x in weights or (1.0, 1.0, 1.0)])
-    rows = ranked(df, key, "_rank").withColumn("_batch", F.floor(F.col("_rank") / batch))
+    rows = ranked(df.select(key, logits, gold), key, "_rank").withColumn("_batch", F.floor(F.col("_rank") / batch))
     tokens = rows.select("_batch", F.explode(F.arrays_zip(F.col(logits).alias("z"), F.col(gold).alias("g"))).alias("x")).where(F.col("x.g") != IGNORED)
     z, g = F.col("x.z"), F.col("x.g")
     top = F.array_max(z)

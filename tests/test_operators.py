@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from anchorage.operators import annotate, dataset, links, markup, match, rewrite
+from anchorage.operators import annotate, dataset, links, markup, match, ordering, rewrite
 from anchorage.sources import dump
 
 
@@ -101,6 +101,20 @@ def test_split_sizes(spark, n):
     assert got == {k: v for k, v in (("test", test), ("dev", dev), ("train", n - test - dev)) if v}
 
 
+def test_ranks_with_far_and_frequent_values(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    values = [None] * 900 + [7] * 3000 + list(range(3000)) + [low, low, high, high, high - 1] + [1 << 52] * 500
+    rows = [(v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "v bigint, i int")
+    got = ordering.ranked(df.repartition(7), "v").orderBy("rank").collect()
+    assert [r.rank for r in got] == list(range(len(values)))
+    assert [r.v for r in got] == sorted(values, key=lambda v: (v is not None, v or 0))
+    assert got == ordering.ranked(df, "v").orderBy("rank").collect()
+    sizes = [r._n for r in ordering.bucketed(df, "v", F.xxhash64("i")).select("_b", "_n").distinct().collect()]
+    assert max(sizes) < 100 and sum(sizes) == len(values)
+    assert ordering.ranked(df.limit(0), "v").count() == 0 and ordering.ranked(df.where("v is null"), "v").count() == 900
+
+
 def test_markup():
     clean = markup.clean_markup
     assert clean("a<!-- x -->b <ref>no</ref><b>c</b><br>d <table><tr><td>z</td></tr></table>") == "ab c\nd"
