@@ -21,7 +21,7 @@ from .base import documents, tidy, without
 
 WORD = re.compile(r"\w+")
 #: Labelled documents of each class that are sampled at most, by the hash of their id.
-SAMPLE = {1: 1000, 0: 3000}
+SAMPLE = {1: 1500, 0: 4500}
 #: Toxic documents are grade 1, 2 or 3 as they have fewer marker words than the first bound, the second, or not.
 GRADE_BOUNDS = (3, 6)
 #: Lengths of the beginnings of words that are features beside whole words.
@@ -43,7 +43,7 @@ class OrdinalModel:
         return np.diff(np.c_[np.zeros(len(below)), below, np.ones(len(below))], axis=1)
 
     def scores(self, texts: Iterable[str | None], lookup: _Lookup) -> np.ndarray:
-        return np.array([sum(self.weights[i] * v for i, v in vector(t, lookup).items()) for t in texts], float)
+        return np.array([sum(self.weights[i] * v for i, v in vector(words(t), lookup).items()) for t in texts], float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -68,25 +68,30 @@ class _Lookup(dict):
         return found
 
 
-def vector(text: str | None, lookup: _Lookup) -> dict[int, float]:
-    """Sparse features: log(1 + count) of each known one. Length does not dilute them."""
-    words = WORD.findall((text or "").lower())
-    known = {w for w in set(words) if lookup[w]}
-    if not known:
-        return {}
-    counts = Counter(i for w in words if w in known for i in lookup[w])
+def words(text: str | None) -> Counter[str]:
+    """How often a text has each of its words."""
+    return Counter(WORD.findall((text or "").lower()))
+
+
+def vector(counted: Counter[str], lookup: _Lookup) -> dict[int, float]:
+    """Sparse features of counted words: log(1 + count) of each known one. Length does not dilute them."""
+    counts: dict[int, int] = {}
+    for w, n in counted.items():
+        for i in lookup[w]:
+            counts[i] = counts.get(i, 0) + n
     return {i: float(np.log1p(c)) for i, c in counts.items()}
 
 
-def select_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
+def select_features(rows: list[Counter[str]], toxic: np.ndarray) -> dict[str, int]:
     """Words and beginnings whose presence goes with the label: G2 test on document counts, most telling first."""
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     seen = [Counter(), Counter()]
-    for t, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({p for w in set(WORD.findall((t or "").lower())) for p in parts(w)})
+    for r, y in zip(rows, toxic, strict=True):
+        seen[int(y)].update({p for w in r for p in parts(w)})
     scored = []
-    for w, a in (seen[0] + seen[1]).items():
+    for w in seen[0].keys() | seen[1].keys():
         b = seen[1][w]
+        a = seen[0][w] + b
         if a < LEAST_DOCS:
             continue
         g = 0.0
@@ -99,17 +104,22 @@ def select_features(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     return {w: i for i, (_, w) in enumerate(sorted(scored)[:MOST_FEATURES])}
 
 
-def fit(texts: list[str], toxic: list[int], ridge: float = RIDGE) -> OrdinalModel:
-    """Fits thresholds and shared weights by damped gradient steps with momentum on the sample."""
+def fit(texts: list[str | None], toxic: list[int], ridge: float = RIDGE) -> OrdinalModel:
+    """The model of labelled texts."""
+    return fit_words([words(t) for t in texts], toxic, ridge)
+
+
+def fit_words(counted: list[Counter[str]], toxic: list[int], ridge: float = RIDGE) -> OrdinalModel:
+    """Fits thresholds and shared weights by damped gradient steps with momentum on counted words."""
     y = np.array(toxic, int)
-    features = select_features(texts, y)
+    features = select_features(counted, y)
     lookup = _Lookup(features)
-    rows = [vector(t, lookup) for t in texts]
+    rows = [vector(c, lookup) for c in counted]
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
     in_toxic = Counter(i for r, t in zip(rows, y, strict=True) if t for i in r)
     in_clean = Counter(i for r, t in zip(rows, y, strict=True) if not t for i in r)
     markers = {i for i in in_toxic if in_toxic[i] / n1 > 10 * (in_clean[i] + 1) / n0}
-    hits = np.array([sum(not markers.isdisjoint(lookup[w]) for w in WORD.findall((t or "").lower())) if r else 0 for t, r in zip(texts, rows, strict=True)], int)
+    hits = np.array([sum(n for w, n in c.items() if not markers.isdisjoint(lookup[w])) for c in counted], int)
     grade = np.where(y == 1, 1 + np.searchsorted(GRADE_BOUNDS, hits, side="right"), 0)
     levels = len(GRADE_BOUNDS) + 1
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -139,21 +149,34 @@ def fit(texts: list[str], toxic: list[int], ridge: float = RIDGE) -> OrdinalMode
     return OrdinalModel(features, w, free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """At most SAMPLE labelled documents of each class, whole texts; ids of 4000 rows are broadcast."""
+def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[Counter[str], int]]:
+    """Counted words and label of at most SAMPLE labelled documents of each class.
+
+    Executors count the words of the whole texts, so the driver holds vocabularies, not texts. Ids
+    of 6000 rows are broadcast. Rows that repeat an id count as one: the least of their texts' hashes.
+    """
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
     for toxic, most in SAMPLE.items():
         some = rows.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    return [(r.text or "", r.toxic) for r in sorted(found, key=lambda r: (r.doc_id, r.toxic, r.text or ""))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+        for b in batches:
+            counted = [[{"word": w, "n": n} for w, n in sorted(words(t.as_py()).items())] for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(counted, kind)], ["doc_id", "toxic", "hash", "words"])
+
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text", F.xxhash64("text").alias("hash"))
+    found = found.mapInArrow(tidy(count), f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, hash bigint, words array<struct<word:string,n:int>>")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("hash", "toxic", "words")).alias("x")).orderBy("doc_id")
+    return [(Counter({w.word: w.n for w in r.x.words}), r.x.toxic) for r in one.toLocalIterator()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     """Without labels the model has no features and calls every text clean."""
     rows = sample(docs, labels)
-    return fit([t for t, _ in rows], [y for _, y in rows]) if rows else OrdinalModel({}, np.zeros(0), np.array([4.0, 5.0, 6.0]))
+    return fit_words([c for c, _ in rows], [y for _, y in rows]) if rows else OrdinalModel({}, np.zeros(0), np.array([4.0, 5.0, 6.0]))
 
 
 def graded(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
