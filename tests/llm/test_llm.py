@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -460,8 +462,6 @@ def test_literals_of_expressions():
 
 
 def test_many_rules_against_trying_each(spark):
-    import re
-
     rng = random.Random(12)
     words = [f"t{k}" for k in range(60)] + ["ads", "track", "x1"]
     word = lambda: rng.choice(words)
@@ -584,6 +584,144 @@ def test_toxicity(spark, docs):
     assert toxicity.clean_documents(docs, spark.createDataFrame([], "doc_id bigint, toxic int")).count() == len(ROWS) and not none.features
 
 
+def plain_p_toxic(model, text):
+    """The chance of any toxic grade, by plain loops over the exported weights."""
+    counts = {}
+    for word in re.findall(r"\w+", (text or "").lower()):
+        for feature in [word] + ["^" + word[:k] for k in (4, 5, 6, 7, 8) if k <= len(word)]:
+            if feature in model.features:
+                counts[feature] = counts.get(feature, 0) + 1
+    score = sum(model.weights[model.features[f]] * math.log(1 + c) for f, c in counts.items())
+    return 1 - 1 / (1 + math.exp(score - model.thresholds[0]))
+
+
+def labelled_texts(rng, n):
+    """Texts of plain words, a third of them with some marker words, and their labels."""
+    out = []
+    for k in range(n):
+        bad = (k % 3 == 0) * rng.randrange(1, 9)
+        ws = [f"w{rng.randrange(90)}" for _ in range(60)] + [rng.choice(["scumx", "scumy", "viler"]) for _ in range(bad)]
+        rng.shuffle(ws)
+        out.append((" ".join(ws), int(bad > 0)))
+    return out
+
+
+def test_toxicity_by_plain_loops(spark):
+    """The fit is a minimum of the loss, scores are those of plain loops, unseen texts are told apart, odd rows get a grade."""
+    rng = random.Random(8)
+    seen, unseen = labelled_texts(rng, 450), labelled_texts(rng, 300)
+    model = toxicity.fit([t for t, _ in seen], [y for _, y in seen])
+    odd = [None, "", "scumx", "x " * 500_000 + "scumx scumy " * 5]
+    rows = [(k, t, "kept") for k, t in enumerate([t for t, _ in unseen] + odd)] * 2
+    got = toxicity.graded(spark.createDataFrame(rows, "doc_id int, text string, GRADE string"), model)
+    assert got.columns == ["doc_id", "text", "severity", "grade", "p_toxic"] and got.count() == len(rows)
+    by = {}
+    for r in got.collect():
+        assert by.setdefault(r.doc_id, (r.severity, r.grade, r.p_toxic)) == (r.severity, r.grade, r.p_toxic)
+        assert abs(r.p_toxic - plain_p_toxic(model, r.text)) < 1e-9 and 0 <= r.severity <= 3
+    caught = [(by[k][2] >= 0.5) == bool(y) for k, (_, y) in enumerate(unseen)]
+    assert sum(caught) >= 0.97 * len(caught) and by[len(unseen)] == by[len(unseen) + 1] and by[len(unseen) + 3][2] > 0.5
+    assert toxicity.graded(got.limit(0), model).count() == 0
+
+
+def test_toxicity_samples_documents_once(spark, monkeypatch):
+    """Rows that repeat an id count once, labels that repeat too; what's sampled doesn't depend on the partitions."""
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 3, 0: 4})
+    docs = spark.createDataFrame([(k % 20, f"Word{k % 40} word x X") for k in range(400)] + [(None, "no id"), (3, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)] * 3 + [(None, 1)], "doc_id bigint, toxic int")
+    got = toxicity.sample(docs, labels)
+    assert sorted(y for _, y in got) == [0] * 4 + [1] * 3 and got == toxicity.sample(docs.repartition(7), labels)
+    assert all(c == {} or sorted(c.values()) == [1, 1, 2] for c, _ in got)
+
+
+#: Columns of the same names as the operators' own results and helpers, besides those of documents.
+CLASHING = ("severity", "grade", "keep_id", "kept", "row", "n", "f1", "class_id", "root", "size", "copies", "rate", "ids", "score", "others", "hash")
+
+
+def odd_documents(rng):
+    rows = [(k, t, "en", f"s{k % 3}") for k, (t, _) in enumerate(labelled_texts(rng, 90))]
+    base = [f"t{rng.randrange(500)}" for _ in range(150)]
+    near = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(0, 150, 15)]
+    rows += [(100 + k, t, None, "s1") for k, t in enumerate(near)]
+    rows += [(200, PROSE, "en", None), (201, PROSE + "\n", "en", "s0"), (202, PROSE.replace(" ", "  "), "de", "s0"), (202, "another text with the same id as a copy", "de", "s0"), (203, "a text without a source " * 20, "en", None)]
+    rows += [(300, None, None, None), (301, "", "fr", "s2"), (302, " \t", "fr", "s2"), (None, "a text without an id", "en", "s2"), (None, "another text without an id", "en", "s2")]
+    rows += [(400, "long " + " ".join(f"v{k}" for k in range(100_000)), "en", "s3")] * 3
+    return rows
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage on all the one before kept, with nulls, repeats, a long text and clashing columns."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = odd_documents(rng)
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], schema)
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    stages, now = dict(corpus_pipeline.STAGES), docs
+
+    def step(name):
+        path = f"{tmp_path}/{name}.parquet"
+        stages[name](spark, now, str(tmp_path)).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "sentencepiece":
+            assert out.columns == docs.columns
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in out.collect() for c in CLASHING)
+        return out
+
+    def pairs(df):
+        return sorted([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], key=str)
+
+    now = step("toxicity")
+    clean = [r for r in rows if plain_p_toxic(model, r[1]) < 0.5]
+    assert pairs(now) == sorted([r[:2] for r in clean], key=str) and len(rows) - len(clean) >= 28
+
+    now = step("exact_dedup")
+    groups = {}
+    for i, t, *_ in clean:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t or ""), []).append((i, t))
+    single = [min(g, key=lambda r: (-len(r[1] or ""), r[0] is None, r[0])) for g in groups.values()]
+    assert pairs(now) == sorted(single, key=str)
+
+    now = step("near_dedup")
+    single.sort(key=lambda r: (r[0] is None, r[0] or 0))  # the least id of a class stays
+    root = components_of([t for _, t in single])
+    kept = [r for k, r in enumerate(single) if root[k] == k]
+    assert pairs(now) == sorted(kept, key=str) and len(single) - len(kept) == 9
+
+    before = {(r.doc_id, r.text): r for r in now.collect()}
+    now = step("mixing")
+    got = now.collect()
+    assert all(r == before[(r.doc_id, r.text)] for r in got)
+    names = [*sorted({r.source for r in before.values() if r.source}), None]
+    size = {k: len((r.text or "").split()) for k, r in before.items()}
+    sizes = [[size[k] for k, r in before.items() if r.source == n] for n in names]
+    for n, own, want in zip(names, sizes, water(list(map(sum, sizes)), [5, 2, 1, 5, 2, 1][: len(names)]), strict=True):
+        assert abs(sum(size[(r.doc_id, r.text)] for r in got if r.source == n) - want) <= max(own), n
+    copies = {}
+    for r in got:
+        copies[(r.doc_id, r.text)] = copies.get((r.doc_id, r.text), 0) + 1
+    assert max(copies.values()) <= 3 and all(copies.get((i, t)) == 1 for i, t in kept if not (t or "").split())
+
+    now = step("sentencepiece")
+    assert sorted([(r.doc_id, r.text or "") for r in pieces.decoded(now).collect()], key=str) == sorted([(r.doc_id, r.text or "") for r in got], key=str)
+    assert now.where("not round_trip").isEmpty()
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert whole.columns == now.columns and sorted(map(str, whole.collect())) == sorted(map(str, now.collect()))
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
