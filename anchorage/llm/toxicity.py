@@ -43,7 +43,7 @@ class OrdinalModel:
         return np.diff(np.c_[np.zeros(len(below)), below, np.ones(len(below))], axis=1)
 
     def scores(self, texts: Iterable[str | None], lookup: _Lookup) -> np.ndarray:
-        return np.array([sum(self.weights[i] * v for i, v in vector(words(t), lookup).items()) for t in texts], float)
+        return np.array([sum(self.weights[i] * v for i, v in vector(t, lookup).items()) for t in texts], float)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -73,25 +73,51 @@ def words(text: str | None) -> Counter[str]:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def vector(counted: Counter[str], lookup: _Lookup) -> dict[int, float]:
-    """Sparse features of counted words: log(1 + count) of each known one. Length does not dilute them."""
+def vector(text: str | None, lookup: _Lookup) -> dict[int, float]:
+    """Sparse features: log(1 + count) of each known one. Length does not dilute them."""
     counts: dict[int, int] = {}
-    for w, n in counted.items():
+    for w, n in words(text).items():
         for i in lookup[w]:
             counts[i] = counts.get(i, 0) + n
     return {i: float(np.log1p(c)) for i, c in counts.items()}
 
 
-def select_features(rows: list[Counter[str]], toxic: np.ndarray) -> dict[str, int]:
+class Corpus:
+    """Counted words of labelled texts as arrays: numbers of the words of each text, and how often it has them."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.toxic: list[int] = []
+
+    def add(self, own: Iterable[str], counts: Iterable[int], toxic: int) -> None:
+        numbers = np.array([self.numbers.setdefault(w, len(self.numbers)) for w in own], np.int32)
+        self.rows.append((numbers, np.array(counts, np.int32)))
+        self.toxic.append(toxic)
+
+    def expanded(self, of: list[tuple[int, ...]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the distinct values that its words have in ``of``, and the sums of their counts."""
+        sizes = np.array([len(x) for x in of], np.int64)
+        ends, flat = np.cumsum(sizes), np.fromiter((i for x in of for i in x), np.int64, int(sizes.sum()))
+        for numbers, counts in self.rows:
+            n = sizes[numbers]
+            at = np.arange(n.sum()) + np.repeat(ends[numbers] - np.cumsum(n), n)
+            values, where = np.unique(flat[at], return_inverse=True)
+            yield values, np.bincount(where, np.repeat(counts, n), len(values))
+
+
+def select_features(corpus: Corpus) -> dict[str, int]:
     """Words and beginnings whose presence goes with the label: G2 test on document counts, most telling first."""
+    toxic = np.array(corpus.toxic, int)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    seen = [Counter(), Counter()]
-    for r, y in zip(rows, toxic, strict=True):
-        seen[int(y)].update({p for w in r for p in parts(w)})
-    scored = []
-    for w in seen[0].keys() | seen[1].keys():
-        b = seen[1][w]
-        a = seen[0][w] + b
+    every: dict[str, int] = {}
+    of = [tuple(every.setdefault(p, len(every)) for p in parts(w)) for w in corpus.numbers]
+    seen = np.zeros((2, len(every)), np.int64)
+    for (present, _), y in zip(corpus.expanded(of), toxic, strict=True):
+        seen[y, present] += 1
+    total, scored = seen.sum(axis=0), []
+    for w, k in every.items():
+        a, b = int(total[k]), int(seen[1, k])
         if a < LEAST_DOCS:
             continue
         g = 0.0
@@ -106,25 +132,32 @@ def select_features(rows: list[Counter[str]], toxic: np.ndarray) -> dict[str, in
 
 def fit(texts: list[str | None], toxic: list[int], ridge: float = RIDGE) -> OrdinalModel:
     """The model of labelled texts."""
-    return fit_words([words(t) for t in texts], toxic, ridge)
+    corpus = Corpus()
+    for t, y in zip(texts, toxic, strict=True):
+        own = words(t)
+        corpus.add(own.keys(), list(own.values()), y)
+    return fit_words(corpus, ridge)
 
 
-def fit_words(counted: list[Counter[str]], toxic: list[int], ridge: float = RIDGE) -> OrdinalModel:
+def fit_words(corpus: Corpus, ridge: float = RIDGE) -> OrdinalModel:
     """Fits thresholds and shared weights by damped gradient steps with momentum on counted words."""
-    y = np.array(toxic, int)
-    features = select_features(counted, y)
+    y = np.array(corpus.toxic, int)
+    features = select_features(corpus)
     lookup = _Lookup(features)
-    rows = [vector(c, lookup) for c in counted]
+    of = [lookup[w] for w in corpus.numbers]
+    rows = list(corpus.expanded(of))
     n1, n0 = max(1, y.sum()), max(1, (1 - y).sum())
-    in_toxic = Counter(i for r, t in zip(rows, y, strict=True) if t for i in r)
-    in_clean = Counter(i for r, t in zip(rows, y, strict=True) if not t for i in r)
-    markers = {i for i in in_toxic if in_toxic[i] / n1 > 10 * (in_clean[i] + 1) / n0}
-    hits = np.array([sum(n for w, n in c.items() if not markers.isdisjoint(lookup[w])) for c in counted], int)
+    docs = np.zeros((2, len(features)))  # of each feature, by label
+    for (i, _), t in zip(rows, y, strict=True):
+        docs[t, i] += 1
+    markers = set(np.flatnonzero(docs[1] / n1 > 10 * (docs[0] + 1) / n0).tolist())
+    marks = np.array([not markers.isdisjoint(x) for x in of], bool)
+    hits = np.array([c[marks[k]].sum() for k, c in corpus.rows], int)
     grade = np.where(y == 1, 1 + np.searchsorted(GRADE_BOUNDS, hits, side="right"), 0)
     levels = len(GRADE_BOUNDS) + 1
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.array([i for r in rows for i in r], int)
-    val = np.array([v for r in rows for v in r.values()], float)
+    at = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
+    col = np.concatenate([i for i, _ in rows]).astype(int) if rows else np.zeros(0, int)
+    val = np.log1p(np.concatenate([c for _, c in rows])) if rows else np.zeros(0)
     w = np.zeros(len(features))
     # Thresholds rise: the first and logs of the gaps are free.
     share = np.clip([np.mean(grade <= k) for k in range(levels)], 0.01, 0.99) if len(grade) else np.linspace(0.6, 0.9, levels)
@@ -149,11 +182,11 @@ def fit_words(counted: list[Counter[str]], toxic: list[int], ridge: float = RIDG
     return OrdinalModel(features, w, free[0] + np.r_[0, np.cumsum(np.exp(free[1:]))])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[Counter[str], int]]:
+def sample(docs: DataFrame, labels: DataFrame) -> Corpus:
     """Counted words and label of at most SAMPLE labelled documents of each class.
 
-    Executors count the words of the whole texts, so the driver holds vocabularies, not texts. Ids
-    of 6000 rows are broadcast. Rows that repeat an id count as one: the least of their texts' hashes.
+    Executors count the words of the whole texts, so the driver holds numbers and one vocabulary.
+    Ids of 6000 rows are broadcast. Rows that repeat an id count as one: the least of their texts' hashes.
     """
     rows = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = None
@@ -162,21 +195,24 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[tuple[Counter[str], int]]
         picked = some if picked is None else picked.unionByName(some)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
         for b in batches:
-            counted = [[{"word": w, "n": n} for w, n in sorted(words(t.as_py()).items())] for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(counted, kind)], ["doc_id", "toxic", "hash", "words"])
+            counted = [sorted(words(t.as_py()).items()) for t in b.column(2)]
+            cols = [pa.array([[x[k] for x in c] for c in counted], pa.list_(kind)) for k, kind in enumerate((pa.string(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *cols], ["doc_id", "toxic", "hash", "words", "counts"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text", F.xxhash64("text").alias("hash"))
-    found = found.mapInArrow(tidy(count), f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, hash bigint, words array<struct<word:string,n:int>>")
-    one = found.groupBy("doc_id").agg(F.min(F.struct("hash", "toxic", "words")).alias("x")).orderBy("doc_id")
-    return [(Counter({w.word: w.n for w in r.x.words}), r.x.toxic) for r in one.toLocalIterator()]
+    found = found.mapInArrow(tidy(count), f"doc_id {dict(docs.dtypes)['doc_id']}, toxic int, hash bigint, words array<string>, counts array<int>")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("hash", "toxic", "words", "counts")).alias("x")).orderBy("doc_id").select("x.*")
+    corpus = Corpus()
+    for r in one.toLocalIterator():
+        corpus.add(r.words, r.counts, r.toxic)
+    return corpus
 
 
 def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     """Without labels the model has no features and calls every text clean."""
-    rows = sample(docs, labels)
-    return fit_words([c for c, _ in rows], [y for _, y in rows]) if rows else OrdinalModel({}, np.zeros(0), np.array([4.0, 5.0, 6.0]))
+    corpus = sample(docs, labels)
+    return fit_words(corpus) if corpus.rows else OrdinalModel({}, np.zeros(0), np.array([4.0, 5.0, 6.0]))
 
 
 def graded(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

@@ -629,9 +629,10 @@ def test_toxicity_samples_documents_once(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE", {1: 3, 0: 4})
     docs = spark.createDataFrame([(k % 20, f"Word{k % 40} word x X") for k in range(400)] + [(None, "no id"), (3, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] * 3 + [(None, 1)], "doc_id bigint, toxic int")
-    got = toxicity.sample(docs, labels)
-    assert sorted(y for _, y in got) == [0] * 4 + [1] * 3 and got == toxicity.sample(docs.repartition(7), labels)
-    assert all(c == {} or sorted(c.values()) == [1, 1, 2] for c, _ in got)
+    got, again = toxicity.sample(docs, labels), toxicity.sample(docs.repartition(7), labels)
+    listed = lambda c: [(y, dict(zip(k.tolist(), n.tolist(), strict=True))) for y, (k, n) in zip(c.toxic, c.rows, strict=True)]
+    assert sorted(got.toxic) == [0] * 4 + [1] * 3 and listed(got) == listed(again) and got.numbers == again.numbers
+    assert all(c == {} or sorted(c.values()) == [1, 1, 2] for _, c in listed(got))
 
 
 #: Columns of the same names as the operators' own results and helpers, besides those of documents.
