@@ -34,7 +34,7 @@ BYTE_COST = 10_000_000
 #: Words, and an eighth as many n-best lists, that are kept at most; then they are worked out anew.
 CACHE = 1 << 17
 #: Words that go through a lattice at once, and rows and bytes of text that are segmented at once.
-TOGETHER, ROWS, BYTES = 2048, 512, 1 << 20
+TOGETHER, ROWS, BYTES = 1024, 512, 1 << 20
 
 Path = tuple[int, tuple[int, ...]]
 
@@ -446,23 +446,25 @@ def encoded(df: DataFrame, model: str = MODEL, nbest: int = NBEST, doc_id: str =
     with open(model, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
+    def segment(pieces: Pieces, part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [t.as_py() or "" for t in part.column("text")]
+        flat, ends, done = pieces.segmented(texts)
+        spelled = pieces.spelled(flat, ends)
+        over = [d[2] for d in done]
+        trips = []
+        for t, s, o, a in zip(texts, spelled, over, ends.tolist(), strict=False):
+            # Texts are their ids' bytes one after the other, so it is enough to decode what changes.
+            trips.append(s == t and all(_spell(pieces, x["ids"]) == _spell(pieces, flat[a + x["at"] : a + x["at"] + x["cut"]].tolist()) for c in o for x in c))
+        cols = [part.column(k) for k in range(len(names) - 6)]
+        scores = [[x / 1e6 for x in d[0]] for d in done]
+        cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int32()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(over, _OVERLAYS), pa.array(trips, pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value, nbest)
         for b in batches:
             for at, rows in slices(b.column("text")):
-                part = b.slice(at, rows)
-                texts = [t.as_py() or "" for t in part.column("text")]
-                flat, ends, done = pieces.segmented(texts)
-                spelled = pieces.spelled(flat, ends)
-                over = [d[2] for d in done]
-                trips = []
-                for t, s, o, a in zip(texts, spelled, over, ends.tolist(), strict=False):
-                    # Texts are their ids' bytes one after the other, so it is enough to decode what changes.
-                    trips.append(s == t and all(_spell(pieces, x["ids"]) == _spell(pieces, flat[a + x["at"] : a + x["at"] + x["cut"]].tolist()) for c in o for x in c))
-                cols = [part.column(k) for k in range(len(names) - 6)]
-                scores = [[x / 1e6 for x in d[0]] for d in done]
-                cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(np.diff(ends), pa.int32()), pa.array([x[0] for x in scores], pa.float64()), pa.array(scores, pa.list_(pa.float64())), pa.array(over, _OVERLAYS), pa.array(trips, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield segment(pieces, b.slice(at, rows))  # what one slice needs is free before the next
 
     results = ["ids", "n_pieces", "score", "nbest_scores", "nbest_changes", "round_trip"]
     keep = tuple(c for c in dict.fromkeys(keep) if c.lower() not in {doc_id.lower(), *results})
