@@ -388,23 +388,36 @@ def _open(large: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``sid, root``: the least sid of each connected component.
 
-    Each turn takes the least label of the neighbours and then that label's own (pointer
-    jumping), on tables in the shared folder, until no label changes.
+    Each turn every set points to its least neighbour, pointers are followed to their ends, and
+    the edges are drawn between these ends: what one turn has joined is one set in the next.
     """
-    edges = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(edges.select(F.col("a").alias("sid")).distinct().withColumn("root", F.col("sid")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("sid", "b"), "b").groupBy(F.col("a").alias("sid")).agg(F.min("root").alias("near"))
-        new = labels.join(near, "sid").select("sid", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("sid").alias("mid"), F.col("root").alias("up"))
-        new = scratch.save(new.join(jump, "mid", "left").select("sid", "old", F.least("mid", F.coalesce("up", "mid")).alias("root")))
-        changed = not new.where("root <> old").isEmpty()
-        scratch.drop(labels)
-        labels = scratch.save(new.select("sid", "root"))
-        scratch.drop(new)
-        if not changed:
-            scratch.drop(edges)
-            return nodes.select("sid").join(labels, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
+    edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    roots = None
+    while not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("b").alias("to")), F.struct(F.col("b").alias("sid"), F.col("a").alias("to"))))).select("col.*")
+        ends = scratch.save(ends.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("root")))
+        while True:
+            up = ends.select(F.col("sid").alias("root"), F.col("root").alias("up"))
+            new = scratch.save(ends.join(up, "root").select("sid", F.col("up").alias("root"), (F.col("up") < F.col("root")).alias("moved")))
+            scratch.drop(ends)
+            ends = new
+            if ends.where("moved").isEmpty():
+                break
+        left = edges
+        for end in ("a", "b"):
+            left = left.withColumnRenamed(end, "sid").join(ends.select("sid", F.col("root").alias(end)), "sid").drop("sid")
+        left = scratch.save(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+        scratch.drop(edges)
+        edges, roots = left, ends.select("sid", "root") if roots is None else _moved(roots, ends)
+    if roots is None:
+        return nodes.select("sid", F.col("sid").alias("root"))
+    return nodes.select("sid").join(roots, "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
+
+
+def _moved(roots: DataFrame, ends: DataFrame) -> DataFrame:
+    """``sid, root`` where roots have roots of their own, if ends ``sid, root`` has them."""
+    up = ends.select(F.col("sid").alias("root"), F.col("root").alias("up"))
+    return roots.join(up, "root", "left").select("sid", F.coalesce("up", "root").alias("root"))
 
 
 def _text_hash(text: str) -> Column:

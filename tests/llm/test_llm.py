@@ -151,6 +151,38 @@ def test_jaccard_large_buckets(spark, monkeypatch, few, deepest):
     assert all((got[i].links > 0) == (want.count(want[i]) > 1) for i in got)
 
 
+def join_rows(spark, after=0):
+    """Rows that joins of SQL executions from this one on made, and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    found, rows = store.executionsList(), 0
+    for k in range(after, found.size()):
+        number = found.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return rows, found.size()
+
+
+def test_components_join_few_rows(spark):
+    """A group linked by a forest in each of 14 runs, a chain and a star around the largest number: the
+    joins' rows are a few times the edges, and roots are the least numbers."""
+    rng = random.Random(6)
+    edges = [(rng.randrange(i), i) for _ in range(14) for i in range(1, 800)]
+    edges += [(i, i + 1) for i in range(1000, 1300)] + [(i, 2000) for i in range(1500, 1600)] + [(7, 7)]
+    nodes = spark.range(2100).select(F.col("id").alias("sid"))
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    scratch = jaccard_join.Scratch(spark)
+    _, before = join_rows(spark)
+    roots = scratch.save(jaccard_join.components(nodes, table, scratch))
+    rows, _ = join_rows(spark, before)
+    want = {i: 0 if i < 800 else 1000 if 1000 <= i <= 1300 else 1500 if 1500 <= i < 1600 or i == 2000 else i for i in range(2100)}
+    assert {r.sid: r.root for r in roots.collect()} == want
+    assert 0 < rows <= 4 * len(edges)
+    assert jaccard_join.components(nodes, table.limit(0), scratch).where("root = sid").count() == 2100
+
+
 def test_jaccard_rows_grow_with_the_sets(spark, monkeypatch):
     """20,000 near copies in one bucket, with some strays: about two rows a set, in groups of a block."""
     monkeypatch.setattr(jaccard_join, "DEPTH", 1)
