@@ -244,20 +244,39 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield group
 
 
+def _first(gids, gid: int) -> np.ndarray:
+    """For each two sets by the groups they lie in, whether this group is the least that they share."""
+    before = [[g for g in x if g < gid] for x in gids]
+    columns = {g: k for k, g in enumerate(sorted({g for x in before for g in x}))}
+    earlier = np.zeros((len(before), max(1, len(columns))), np.float32)
+    for i, x in enumerate(before):
+        earlier[i, [columns[g] for g in x]] = 1
+    return earlier @ earlier.T < 0.5
+
+
+def _alike(sketches: list[bytes]) -> np.ndarray:
+    """Equal coordinates of each two sketches."""
+    mh = np.ascontiguousarray(np.frombuffer(b"".join(sketches), np.uint32).reshape(len(sketches), -1).T)
+    like = np.zeros((len(sketches), len(sketches)), np.uint8)
+    for k in range(len(mh)):
+        like += mh[k][:, None] == mh[k][None, :]
+    return like
+
+
 def _screen(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each group the sets whose sketch is like that of a set of another class there: ``gid, sid, root``."""
-        for group in _groups(batches, ("gid", "sid", "root", "mh")):
+        """Of each group the sets whose sketch is like that of a set of another class there, with which
+        they share no group before: ``gid, sid, root``."""
+        for group in _groups(batches, ("gid", "sid", "root", "mh", "gids")):
             if len(group) < 2:
                 continue
             sids, roots = (np.array([g[k] for g in group], np.int64) for k in (1, 2))
-            mh = np.ascontiguousarray(np.frombuffer(b"".join([g[3] for g in group]), np.uint32).reshape(len(group), -1).T)
-            like = np.zeros((len(group), len(group)), np.uint8)
-            for k in range(len(mh)):
-                like += mh[k][:, None] == mh[k][None, :]
-            found = ((like >= least) & (roots[:, None] != roots[None, :])).any(axis=1)
-            if found.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(found.sum()), group[0][0])), pa.array(sids[found]), pa.array(roots[found])], ["gid", "sid", "root"])
+            near = (_alike([g[3] for g in group]) >= least) & (roots[:, None] != roots[None, :])
+            at = np.flatnonzero(near.any(axis=1))
+            if len(at):
+                at = at[(near[np.ix_(at, at)] & _first([group[i][4] for i in at], group[0][0])).any(axis=1)]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), group[0][0])), pa.array(sids[at]), pa.array(roots[at])], ["gid", "sid", "root"])
 
     return run
 
@@ -293,12 +312,7 @@ def _linked(sids, roots, copies, gids, packed, gid: int, threshold: float) -> tu
     roots = np.asarray(roots, np.int64)
     known = roots[:, None] == roots[None, :]
     hit = (both >= threshold * (n[:, None] + n[None, :] - both) - 1e-9) & ~known
-    before = [[g for g in x if g < gid] for x in gids]
-    columns = {g: k for k, g in enumerate(sorted({g for x in before for g in x}))}
-    earlier = np.zeros((len(sets), max(1, len(columns))), np.float32)
-    for i, x in enumerate(before):
-        earlier[i, [columns[g] for g in x]] = 1
-    first = hit & (earlier @ earlier.T < 0.5)
+    first = hit & _first(gids, gid)
     return first @ np.asarray(copies, np.int64), [(sids[x], sids[y]) for x, y in forest(hit, known)]
 
 
@@ -325,21 +339,28 @@ def _compare(threshold: float):
     return run
 
 
+def _whole(met: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """met with each set's ``shingles``, in place of ``sa, sb, th``."""
+    bitmap = met.sparkSession.sparkContext.broadcast(key_bitmap(met, F.col("th"), bits_for(met.count())).tobytes())
+    whole = texts.mapInArrow(tidy(_wanted_shingles(bitmap)), "sa bigint, sb bigint, shingles binary")
+    whole = whole.groupBy("sa", "sb").agg(F.any_value("shingles").alias("shingles"))
+    return scratch.save(met.join(whole, ["sa", "sb"]).drop("sa", "sb", "th"))
+
+
 def _found(groups: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, counted: bool) -> DataFrame:
     """``a, b, links`` of groups ``gid, sid, root``, as ``_compare`` has them.
 
     Most sets only share a passage with the others of a group: sketches tell, before any shingle
-    moves. A set's groups are a few dozen where pairs are counted.
+    moves. Where pairs are counted, a set's groups are a few dozen, and it only moves to those in
+    which it first meets a set that it may be linked with.
     """
-    near = scratch.save(_dealt(groups, nodes.select("sid", "mh")).mapInArrow(tidy(_screen(screen_for(threshold))), "gid bigint, sid bigint, root bigint").distinct())
-    every = near.groupBy("sid").agg((F.array_sort(F.collect_list("gid")) if counted else F.array().cast("array<bigint>")).alias("gids"))
-    met = scratch.save(nodes.join(every, "sid").select("sid", "sa", "sb", "th", "copies", "gids"))
-    bitmap = nodes.sparkSession.sparkContext.broadcast(key_bitmap(met, F.col("th"), bits_for(met.count())).tobytes())
-    whole = texts.mapInArrow(tidy(_wanted_shingles(bitmap)), "sa bigint, sb bigint, shingles binary")
-    whole = whole.groupBy("sa", "sb").agg(F.any_value("shingles").alias("shingles"))
-    sets = scratch.save(met.join(whole, ["sa", "sb"]).select("sid", "copies", "gids", "shingles"))
+    gids = F.array_sort(F.collect_list("gid")) if counted else F.array().cast("array<bigint>")
+    every = scratch.save(groups.groupBy("sid").agg(gids.alias("gids")))
+    near = scratch.save(_dealt(groups, nodes.select("sid", "mh").join(every, "sid")).mapInArrow(tidy(_screen(screen_for(threshold))), "gid bigint, sid bigint, root bigint").distinct())
+    met = scratch.save(nodes.join(every, "sid").join(near.select("sid").distinct(), "sid", "left_semi").select("sid", "sa", "sb", "th", "copies", "gids"))
+    sets = _whole(met, texts, scratch)
     out = scratch.save(_dealt(near, sets).mapInArrow(tidy(_compare(threshold)), "a bigint, b bigint, links bigint"))
-    scratch.drop(near, met, sets)
+    scratch.drop(every, near, met, sets)
     return out
 
 

@@ -183,6 +183,16 @@ def test_components_join_few_rows(spark):
     assert jaccard_join.components(nodes, table.limit(0), scratch).where("root = sid").count() == 2100
 
 
+def test_jaccard_sets_move_to_few_groups(spark):
+    """Two sets that share three groups are compared in one of them."""
+    text = [" ".join([f"m{k}" for k in range(60)] + [f"e{i}"]) for i in range(2)]
+    sets = [jaccard_join.shingles(t) for t in text]
+    rows = [(g, i, i, jaccard_join.sketch(x).tobytes(), [3, 5, 9]) for g in (3, 5, 9) for i, x in enumerate(sets)]
+    groups = spark.createDataFrame(rows, "gid bigint, sid bigint, root bigint, mh binary, gids array<bigint>").coalesce(1).sortWithinPartitions("gid")
+    got = groups.mapInArrow(jaccard_join._screen(jaccard_join.screen_for(0.8)), "gid bigint, sid bigint, root bigint").collect()
+    assert sorted((r.gid, r.sid) for r in got) == [(3, 0), (3, 1)]
+
+
 def test_jaccard_rows_grow_with_the_sets(spark, monkeypatch):
     """20,000 near copies in one bucket, with some strays: about two rows a set, in groups of a block."""
     monkeypatch.setattr(jaccard_join, "DEPTH", 1)
