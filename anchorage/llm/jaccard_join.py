@@ -12,7 +12,8 @@ bucket is dealt into blocks, a set into one of them, and the links found there j
 classes. A bucket that lies in one class is done: another link of its sets could not change the
 result. In the others only pairs of different classes are open: a few sets outside the largest
 class meet that class's blocks, and where they are many the bucket is split along further shared
-tokens first. Rows grow with the sets, not with pairs of them.
+tokens first. Rows grow with the sets, not with pairs of them. The links of these classes are
+counted at last, over all pairs of a class (``_all_links``).
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 COORDINATES, SECOND, DEPTH, LEAF = 64, 0.25, 4, 64
 #: Sets in a block, and the most sets outside a bucket's largest class that meet all of its blocks.
 BLOCK, FEW = 512, 256
+#: Bytes of the differences in a block of sets that are counted as a whole.
+BLOCK_BYTES = 1 << 22
 #: Depth to which large buckets of several classes are split, always by two coordinates a node.
 DEEPEST = 16
 #: The chance at which the sketch may hide a pair at the threshold from the comparison.
@@ -441,12 +444,118 @@ def _moved(roots: DataFrame, ends: DataFrame) -> DataFrame:
     return roots.join(up, "root", "left").select("sid", F.coalesce("up", "root").alias("root"))
 
 
+def _medoid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``root, sid``: of each group the set whose sketch is most like the others'."""
+    for group in _groups(batches, ("root", "sid", "mh")):
+        best = _alike([g[2] for g in group]).sum(axis=1, dtype=np.int64).argmax()
+        yield pa.RecordBatch.from_arrays([pa.array([group[0][0]], pa.int64()), pa.array([group[best][1]], pa.int64())], ["root", "sid"])
+
+
+def _differences(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set as its difference from the pivot, which leads its rows: ``root, sid, copies, n, lost, pivot, core, diff``.
+
+        ``lost`` is the number of the pivot's shingles that the set lacks. Two core sets lack so
+        few that they are linked whatever else they hold.
+        """
+        names = ("root", "lead", "sid", "copies", "shingles")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        share, p = threshold / (1 + threshold), np.empty(0, np.uint64)
+        for b in batches:
+            for at in range(0, len(b), 256):
+                out = []
+                for root, lead, sid, copies, packed in zip(*[b.column(c).slice(at, 256).to_pylist() for c in names], strict=True):
+                    x = np.frombuffer(packed, np.uint64)
+                    if lead:
+                        p = x
+                        continue
+                    diff = np.setxor1d(p, x, assume_unique=True)
+                    both = (len(p) + len(x) - len(diff)) // 2
+                    out.append((root, sid, copies, len(x), len(p) - both, len(p), both - len(p) / 2 >= share * len(x), diff.tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["root", "sid", "copies", "n", "lost", "pivot", "core", "diff"])
+
+    return run
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: ``root, core, k, pivot``, its sets' numbers and their differences, each in one binary."""
+    for group in _groups(batches, ("gid", "root", "core", "k", "pivot", "sid", "copies", "n", "lost", "diff")):
+        diffs = [g[9] for g in group]
+        facts = np.array([(g[5], g[6], g[7], g[8], len(d) // 8) for g, d in zip(group, diffs, strict=True)], np.int64)
+        row = (*group[0][1:5], facts.tobytes(), b"".join(diffs))
+        types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["root", "core", "k", "pivot", "facts", "diffs"])
+
+
+def _counted_pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``sid, links``: the documents that a block's sets are linked with in the other block of a pair, or in the block itself."""
+        for group in _groups(batches, ("gid", "pivot", "facts", "diffs", "itself")):
+            if len(group) == 1 and not group[0][4]:  # the other block has got no sets
+                continue
+            facts = [np.frombuffer(g[2], np.int64).reshape(-1, 5) for g in group]
+            sets = [x for f, g in zip(facts, group, strict=True) for x in np.split(np.frombuffer(g[3], np.uint64), np.cumsum(f[:, 4])[:-1])]
+            one, two = facts[0], facts[-1]
+            # A shingle that both have or both lack besides the pivot's is one more that they share.
+            both = overlaps(sets, len(one))[:, -len(two) :] + (group[0][1] - one[:, 3:4] - two[:, 3]).astype(np.float64)
+            hit = both >= threshold * (one[:, 2:3] + two[:, 2] - both) - 1e-9
+            if len(group) == 1:
+                np.fill_diagonal(hit, False)
+            counts = [(one, hit @ two[:, 1])] + ([(two, hit.T @ one[:, 1])] if len(group) > 1 else [])
+            for f, c in counts:
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(c.astype(np.int64))], ["sid", "links"])
+
+    return run
+
+
+def _all_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``sid, links``: how many documents of other sets each set is linked with, by all pairs of its class, exactly.
+
+    A class's sets become differences from one of them, the pivot, so that near copies are small.
+    Core sets are all linked with each other and need no comparison; blocks of the others, a row
+    each, meet all blocks.
+    """
+    members = scratch.save(members)
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = scratch.save(members.join(sizes, "root").join(nodes.select("sid", "copies", "sa", "sb", "th", "mh"), "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("parts")).cast("int")))
+    least = dealt.groupBy("root").agg(F.min("part").alias("part"))
+    first = dealt.join(least, ["root", "part"]).select("root", "sid", "mh")
+    pivots = scratch.save(first.repartition("root").sortWithinPartitions("root").mapInArrow(tidy(_medoid), "root bigint, sid bigint"))
+    sets = _whole(dealt.select("sid", "sa", "sb", "th"), texts, scratch)
+    leads = pivots.join(sizes, "root").select("root", "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    leads = leads.select("root", "part", F.lit(True).alias("lead"), "sid", F.lit(0).cast("bigint").alias("copies"))
+    rows = leads.unionByName(dealt.select("root", "part", F.lit(False).alias("lead"), "sid", "copies")).join(sets, "sid")
+    rows = rows.repartition("root", "part").sortWithinPartitions("root", "part", F.col("lead").desc())
+    diffs = scratch.save(rows.mapInArrow(tidy(_differences(threshold)), "root bigint, sid bigint, copies bigint, n bigint, lost bigint, pivot bigint, core boolean, diff binary"))
+    scratch.drop(members, dealt, pivots, sets)
+
+    blocks = F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.ceil(F.sum(F.length("diff")) / BLOCK_BYTES)).cast("int")
+    kinds = diffs.groupBy("root", "core").agg(blocks.alias("blocks"), F.sum("copies").alias("all_copies"))
+    numbers = kinds.groupBy("root").agg(*[F.sum(F.when(F.col("core") == core, F.col("blocks")).otherwise(0)).cast("int").alias(name) for core, name in ((False, "open"), (True, "closed"))])
+    placed = diffs.join(kinds, ["root", "core"]).withColumn("k", F.pmod(F.xxhash64(F.lit(6), "sid"), F.col("blocks")).cast("int"))
+    sure = placed.select("sid", F.when(F.col("core"), F.col("all_copies") - F.col("copies")).otherwise(0).cast("bigint").alias("links"))
+
+    # Rim blocks come first; a pair has one of them at least.
+    placed = placed.join(numbers.where("open > 0"), "root").withColumn("gid", F.xxhash64("root", "core", "k"))
+    packed = placed.select("gid", "root", "core", "k", "pivot", "sid", "copies", "n", "lost", "diff").repartition("gid").sortWithinPartitions("gid")
+    packed = packed.mapInArrow(tidy(_pack), "root bigint, core boolean, k int, pivot bigint, facts binary, diffs binary").join(numbers, "root")
+    at = F.when(F.col("core"), F.col("open") + F.col("k")).otherwise(F.col("k"))
+    others = F.sequence(F.lit(0), F.col("open") - 1 + F.when(F.col("core"), 0).otherwise(F.col("closed")))
+    pairs = packed.select("root", at.alias("at"), "pivot", "facts", "diffs", F.explode(others).alias("to"))
+    pairs = pairs.select(F.xxhash64("root", F.least("at", "to"), F.greatest("at", "to")).alias("gid"), "pivot", "facts", "diffs", (F.col("at") == F.col("to")).alias("itself"))
+    found = pairs.repartition("gid").sortWithinPartitions("gid").mapInArrow(tidy(_counted_pairs(threshold)), "sid bigint, links bigint")
+    out = scratch.save(sure.unionByName(found).groupBy("sid").agg(F.sum("links").alias("links")))
+    scratch.drop(diffs)
+    return out
+
+
 def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def _joined(df: DataFrame, doc_id: str, text: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, Scratch]:
-    """The marked rows ``id, th, sa, sb, n, mh`` and the classes of sets: ``sa, sb, root, links, set_size, set_copies, least_id``."""
+def _joined(df: DataFrame, doc_id: str, text: str, threshold: float, recall: float, counted: bool = True) -> tuple[DataFrame, DataFrame, Scratch]:
+    """The marked rows ``id, th, sa, sb, n, mh`` and the classes of sets: ``sa, sb, root, links, set_size, set_copies, least_id``; links are whole if counted."""
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), _text_hash(text).alias("th"))
@@ -459,20 +568,21 @@ def _joined(df: DataFrame, doc_id: str, text: str, threshold: float, recall: flo
     block = F.pmod(F.xxhash64(F.lit(5), "path", "sid"), F.ceil(F.col("size") / BLOCK))
     gid = F.when(F.col("size") <= BLOCK, F.col("path")).otherwise(F.xxhash64("path", block))
     found = _found(leaves.select(gid.alias("gid"), "sid", F.col("sid").alias("root")), nodes, texts, scratch, threshold, True)
-    edges = found.where("b is not null")
-    roots = scratch.save(components(nodes, edges, scratch))
+    roots = scratch.save(components(nodes, found.where("b is not null"), scratch))
+    counts = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     large = leaves.where(F.col("size") > BLOCK)
     if not large.isEmpty():
-        # Links between classes: none of them is a link within a class, so none is counted twice.
         groups = _open(large, nodes, roots, scratch)
-        between = _found(groups, nodes, texts, scratch, threshold, False).where("b is not null")
-        between = scratch.save(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        between = _found(groups, nodes, texts, scratch, threshold, False).where("b is not null").select("a", "b")
+        for end in ("a", "b"):  # links between sets become links between their classes
+            between = between.withColumnRenamed(end, "sid").join(roots.select("sid", F.col("root").alias(end)), "sid").drop("sid")
+        between = scratch.save(between.distinct())
         if not between.isEmpty():
-            copies = nodes.select(F.col("sid").alias("b"), "copies")
-            both = between.unionByName(between.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            found = found.select("a", "links").unionByName(both.join(copies, "b").select("a", F.col("copies").alias("links")))
-            roots = scratch.save(components(nodes, edges.select("a", "b").unionByName(between), scratch))
-    counts = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
+            roots = scratch.save(_moved(roots, components(roots.select(F.col("root").alias("sid")).distinct(), between, scratch)))
+        if counted:  # in a large bucket most pairs have not met: its classes are counted as a whole
+            again = large.select("sid").distinct().join(roots, "sid").select("root").distinct()
+            every = _all_links(roots.join(again, "root"), nodes, texts, scratch, threshold)
+            counts = counts.join(every, "sid", "left_anti").unionByName(every)
     node = nodes.join(roots, "sid").join(counts, "sid", "left")
     node = node.select("sa", "sb", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.col("n").alias("set_size"), F.col("copies").alias("set_copies"), "least_id")
     return marked, scratch.save(node), scratch
@@ -483,10 +593,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
 
     Two documents are linked if their shingle sets' Jaccard similarity is at least the threshold;
     a class is a connected component of links and its id, which stands for the class, is the
-    least doc_id in it. ``links`` counts other documents that this one is linked with: all with
-    an equal set, all that share a bucket of at most BLOCK sets with it, and in larger buckets
-    those of its own block and one for each further part of the class that it connects. So it
-    is the whole number where no more than BLOCK sets are alike, and less where they are many.
+    least doc_id in it. ``links`` counts all other documents that this one is linked with: those
+    with an equal set, and those of the sets that share a bucket with its own; classes with sets
+    in buckets beyond BLOCK are counted by all their pairs.
 
     Texts without a word have no shingles and no links: each is its own class (a null id then
     gives a null class). Null text counts as empty; very long texts are whole sets; repeated rows
@@ -512,7 +621,7 @@ def keep_one_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows are told apart by id and text, so ids may be null or repeat. Columns may have any names.
     """
-    marked, node, scratch = _joined(df, doc_id, text, THRESHOLD, RECALL)
+    marked, node, scratch = _joined(df, doc_id, text, THRESHOLD, RECALL, counted=False)
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     keys = marked.where("n > 0").groupBy("id", "th", "sa", "sb").agg(F.count("*").alias("rows"))
     keys = scratch.save(keys.join(node.select("sa", "sb", "root"), ["sa", "sb"]).select("id", "th", "root", "rows"))

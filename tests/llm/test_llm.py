@@ -151,6 +151,22 @@ def test_jaccard_large_buckets(spark, monkeypatch, few, deepest):
     assert all((got[i].links > 0) == (want.count(want[i]) > 1) for i in got)
 
 
+def test_jaccard_links_in_large_buckets(spark, monkeypatch):
+    """Near copies beyond a block, by one edit and by many, with exact copies: each document's links as by all pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "FEW", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 4000)
+    rng = random.Random(4)
+    words = [f"p{k}" for k in range(120)]
+    rows = edited_copies(rng, words, 150, 1, "v") + edited_copies(rng, words, 100, 3, "u") + edited_copies(rng, words[:90], 40, 2, "x")
+    rows += rows[40:60] + edited_copies(rng, [f"q{k}" for k in range(60)], 90, 0, "q") + edited_copies(rng, words[50:], 9, 1, "y")
+    got = {r.doc_id: r for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    sets = [frozenset(jaccard_join.shingles(x).tolist()) for x in rows]
+    links = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+    assert [got[i].links for i in range(len(rows))] == links and len(set(links)) > 20
+    assert [got[i].class_id for i in range(len(rows))] == components_of(rows)
+
+
 def join_rows(spark, after=0):
     """Rows that joins of SQL executions from this one on made, and the number of executions."""
     store = spark._jsparkSession.sharedState().statusStore()
