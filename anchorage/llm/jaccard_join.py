@@ -11,8 +11,9 @@ What is still large at the last depth is never compared with itself as a whole.
 bucket is dealt into blocks, a set into one of them, and the links found there join sets into
 classes. A bucket that lies in one class is done: another link of its sets could not change the
 result. In the others only pairs of different classes are open: a few sets outside the largest
-class meet that class's blocks, and where they are many the bucket is split along further shared
-tokens first. Rows grow with the sets, not with pairs of them. The links of these classes are
+class meet that class's blocks. Where they are many, the bucket is split along further shared tokens as long as that
+leaves fewer pairs; sets that stay together are compared by pairs of blocks, a row a block
+(``_across``). Rows grow with the sets, not with pairs of them. The links of these classes are
 counted at last, over all pairs of a class (``_all_links``).
 """
 
@@ -368,15 +369,16 @@ def _found(groups: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scrat
 
 
 def _open(large: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """``gid, sid, root``: groups in which all sets of different classes meet that share a large bucket.
+    """``gid, sid, root, whole``: groups in which all sets of different classes meet that share a large bucket.
 
     A bucket of one class needs none. Where at most FEW sets lie outside the largest class, they
-    meet each of its blocks: at most about twice the bucket's rows. Other buckets are split
-    along further tokens; what is large at the deepest level is compared by pairs of blocks, so
-    that nothing is left out.
+    meet each of its blocks: at most about twice the bucket's rows. Other buckets are split along
+    further tokens while that leaves fewer pairs. It does not where sets are much alike, each going
+    to two children with most of the others: such a bucket, and what is large at the deepest
+    level, is a whole group, a row a set, for ``_across``.
     """
     rows = large.select("path", "sid").join(roots, "sid").join(nodes.select("sid", "mh"), "sid")
-    out, spent = [], []
+    out, whole, spent = [], [], []
     for depth in range(DEPTH, DEEPEST + 1):
         rows = scratch.save(rows)
         by_class = rows.groupBy("path", "root").agg(F.count("*").alias("n"))
@@ -389,18 +391,27 @@ def _open(large: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch
         own = F.array(F.pmod(F.xxhash64(F.lit(5), "path", "sid"), blocks).cast("int"))
         places = F.when(F.col("root") == F.col("top"), own).otherwise(F.sequence(F.lit(0), blocks - 1))
         met = here.where(few).select("path", "sid", "root", F.explode(places).alias("k"))
-        out.append(met.select(F.xxhash64("path", "k").alias("gid"), "sid", "root"))
-        many = here.where(~few).select("path", "sid", "root", "mh")
+        out.append(met.select(F.xxhash64("path", "k").alias("gid"), "sid", "root", F.lit(False).alias("whole")))
+        many = here.where(~few)
         if many.isEmpty():
             break
         if depth == DEEPEST:
-            half = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
-            block = F.pmod(F.xxhash64(F.lit(5), "path", "sid"), half).cast("int")
-            rest = here.where(~few).withColumn("half", half).withColumn("block", block)
-            pairs = F.transform(F.sequence(F.lit(0), F.col("half") - 1), lambda k: F.xxhash64(F.col("path"), F.least(k, F.col("block")), F.greatest(k, F.col("block"))))
-            out.append(rest.select(F.explode(pairs).alias("gid"), "sid", "root"))
+            whole.append(many.select("path", "sid", "root"))
+            break
+        split = scratch.save(_children(many.select(F.col("path").alias("up"), "path", "size", "sid", "root", "mh"), 1.0))
+        spent.append(split)
+        pairs = split.groupBy("up", "size", "path").agg(F.count("*").alias("n")).groupBy("up", "size").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        less = scratch.save(pairs.where(F.col("pairs") < F.col("size") * F.col("size")).select("up"))
+        spent.append(less)
+        whole.append(many.join(less.select(F.col("up").alias("path")), "path", "left_anti").select("path", "sid", "root"))
+        rows = split.join(less, "up", "left_semi").select("path", "sid", "root", "mh")
+        if less.isEmpty():
             break
-        rows = _children(many, 1.0)
+    if whole:
+        buckets = whole[0]
+        for x in whole[1:]:
+            buckets = buckets.unionByName(x)
+        out.append(_merged(buckets, scratch).withColumn("whole", F.lit(True)))
     groups = out[0]
     for x in out[1:]:
         groups = groups.unionByName(x)
@@ -409,6 +420,21 @@ def _open(large: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch
     return groups
 
 
+def _merged(buckets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``gid, sid, root``: buckets ``path, sid, root``; those that are joined by sets in common are
+    one group where it has no more pairs than they have in all, as runs find the same sets again."""
+    buckets = scratch.save(buckets)
+    least = buckets.groupBy("sid").agg(F.min("path").alias("a"))
+    shared = buckets.join(least, "sid").select("a", F.col("path").alias("b"))
+    tops = components(buckets.select(F.col("path").alias("sid")).distinct(), shared, scratch)
+    rows = scratch.save(buckets.join(tops.select(F.col("sid").alias("path"), F.col("root").alias("gid")), "path"))
+    square = F.col("n") * F.col("n")
+    apart = rows.groupBy("gid", "path").agg(F.count("*").alias("n")).groupBy("gid").agg(F.sum(square).alias("apart"))
+    sets = rows.select("gid", "sid").distinct().groupBy("gid").agg(F.count("*").alias("n"))
+    one = sets.join(apart, "gid").select("gid", (square <= F.col("apart")).alias("one"))
+    return rows.join(one, "gid").select(F.when(F.col("one"), F.col("gid")).otherwise(F.col("path")).alias("gid"), "sid", "root").distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``sid, root``: the least sid of each connected component.
 
@@ -453,66 +479,91 @@ def _medoid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _differences(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set as its difference from the pivot, which leads its rows: ``root, sid, copies, n, lost, pivot, core, diff``.
+        """Each set as its difference from the pivot, which leads its rows: ``root, sid, class, copies, n, lost, pivot, core, diff``.
 
         ``lost`` is the number of the pivot's shingles that the set lacks. Two core sets lack so
         few that they are linked whatever else they hold.
         """
-        names = ("root", "lead", "sid", "copies", "shingles")
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+        names = ("root", "lead", "sid", "class", "copies", "shingles")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
         share, p = threshold / (1 + threshold), np.empty(0, np.uint64)
         for b in batches:
             for at in range(0, len(b), 256):
                 out = []
-                for root, lead, sid, copies, packed in zip(*[b.column(c).slice(at, 256).to_pylist() for c in names], strict=True):
+                for root, lead, sid, of, copies, packed in zip(*[b.column(c).slice(at, 256).to_pylist() for c in names], strict=True):
                     x = np.frombuffer(packed, np.uint64)
                     if lead:
                         p = x
                         continue
                     diff = np.setxor1d(p, x, assume_unique=True)
                     both = (len(p) + len(x) - len(diff)) // 2
-                    out.append((root, sid, copies, len(x), len(p) - both, len(p), both - len(p) / 2 >= share * len(x), diff.tobytes()))
+                    out.append((root, sid, of, copies, len(x), len(p) - both, len(p), both - len(p) / 2 >= share * len(x), diff.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["root", "sid", "copies", "n", "lost", "pivot", "core", "diff"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["root", "sid", "class", "copies", "n", "lost", "pivot", "core", "diff"])
 
     return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a block: ``root, core, k, pivot``, its sets' numbers and their differences, each in one binary."""
-    for group in _groups(batches, ("gid", "root", "core", "k", "pivot", "sid", "copies", "n", "lost", "diff")):
-        diffs = [g[9] for g in group]
-        facts = np.array([(g[5], g[6], g[7], g[8], len(d) // 8) for g, d in zip(group, diffs, strict=True)], np.int64)
+    for group in _groups(batches, ("gid", "root", "core", "k", "pivot", "sid", "class", "copies", "n", "lost", "diff")):
+        diffs = [g[10] for g in group]
+        facts = np.array([(*g[5:10], len(d) // 8) for g, d in zip(group, diffs, strict=True)], np.int64)
         row = (*group[0][1:5], facts.tobytes(), b"".join(diffs))
         types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["root", "core", "k", "pivot", "facts", "diffs"])
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """The facts ``sid, class, copies, n, lost, size`` of two blocks, which of their sets are linked, and whether they are one block."""
+    for group in _groups(batches, ("gid", "pivot", "facts", "diffs", "itself")):
+        if len(group) == 1 and not group[0][4]:  # the other block has got no sets
+            continue
+        facts = [np.frombuffer(g[2], np.int64).reshape(-1, 6) for g in group]
+        sets = [x for f, g in zip(facts, group, strict=True) for x in np.split(np.frombuffer(g[3], np.uint64), np.cumsum(f[:, 5])[:-1])]
+        one, two = facts[0], facts[-1]
+        # A shingle that both have or both lack besides the pivot's is one more that they share.
+        both = overlaps(sets, len(one))[:, -len(two) :] + (group[0][1] - one[:, 4:5] - two[:, 4]).astype(np.float64)
+        hit = both >= threshold * (one[:, 3:4] + two[:, 3] - both) - 1e-9
+        if len(group) == 1:
+            np.fill_diagonal(hit, False)
+        yield one, two, hit, len(group) == 1
+
+
 def _counted_pairs(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``sid, links``: the documents that a block's sets are linked with in the other block of a pair, or in the block itself."""
-        for group in _groups(batches, ("gid", "pivot", "facts", "diffs", "itself")):
-            if len(group) == 1 and not group[0][4]:  # the other block has got no sets
-                continue
-            facts = [np.frombuffer(g[2], np.int64).reshape(-1, 5) for g in group]
-            sets = [x for f, g in zip(facts, group, strict=True) for x in np.split(np.frombuffer(g[3], np.uint64), np.cumsum(f[:, 4])[:-1])]
-            one, two = facts[0], facts[-1]
-            # A shingle that both have or both lack besides the pivot's is one more that they share.
-            both = overlaps(sets, len(one))[:, -len(two) :] + (group[0][1] - one[:, 3:4] - two[:, 3]).astype(np.float64)
-            hit = both >= threshold * (one[:, 2:3] + two[:, 2] - both) - 1e-9
-            if len(group) == 1:
-                np.fill_diagonal(hit, False)
-            counts = [(one, hit @ two[:, 1])] + ([(two, hit.T @ one[:, 1])] if len(group) > 1 else [])
+        for one, two, hit, itself in _block_pairs(batches, threshold):
+            counts = [(one, hit @ two[:, 2])] + ([] if itself else [(two, hit.T @ one[:, 2])])
             for f, c in counts:
                 yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(c.astype(np.int64))], ["sid", "links"])
 
     return run
 
 
-def _all_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """``sid, links``: how many documents of other sets each set is linked with, by all pairs of its class, exactly.
+def _linked_pairs(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``a, b``: links that connect the classes that are linked in a pair of blocks, or in a block."""
+        for one, two, hit, itself in _block_pairs(batches, threshold):
+            open_ = hit & (one[:, 1:2] != two[:, 1])
+            if not open_.any():
+                continue
+            facts, linked = one, open_
+            if not itself:
+                facts = np.concatenate([one, two])
+                linked = np.zeros((len(facts), len(facts)), bool)
+                linked[: len(one), len(one) :] = open_
+                linked |= linked.T
+            edges = np.array(forest(linked, facts[:, 1:2] == facts[:, 1]), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(facts[edges[:, 0], 0]), pa.array(facts[edges[:, 1], 0])], ["a", "b"])
 
-    A class's sets become differences from one of them, the pivot, so that near copies are small.
+    return run
+
+
+def _in_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of groups ``root, sid, class``: a saved table of their sets, the sets dealt to blocks, and pairs of blocks.
+
+    A group's sets become differences from one of them, the pivot, so that near copies are small.
     Core sets are all linked with each other and need no comparison; blocks of the others, a row
     each, meet all blocks.
     """
@@ -522,29 +573,47 @@ def _all_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch:
     least = dealt.groupBy("root").agg(F.min("part").alias("part"))
     first = dealt.join(least, ["root", "part"]).select("root", "sid", "mh")
     pivots = scratch.save(first.repartition("root").sortWithinPartitions("root").mapInArrow(tidy(_medoid), "root bigint, sid bigint"))
-    sets = _whole(dealt.select("sid", "sa", "sb", "th"), texts, scratch)
+    sets = _whole(dealt.select("sid", "sa", "sb", "th").distinct(), texts, scratch)
     leads = pivots.join(sizes, "root").select("root", "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    leads = leads.select("root", "part", F.lit(True).alias("lead"), "sid", F.lit(0).cast("bigint").alias("copies"))
-    rows = leads.unionByName(dealt.select("root", "part", F.lit(False).alias("lead"), "sid", "copies")).join(sets, "sid")
+    none = F.lit(0).cast("bigint")
+    leads = leads.select("root", "part", F.lit(True).alias("lead"), "sid", none.alias("class"), none.alias("copies"))
+    rows = leads.unionByName(dealt.select("root", "part", F.lit(False).alias("lead"), "sid", "class", "copies")).join(sets, "sid")
     rows = rows.repartition("root", "part").sortWithinPartitions("root", "part", F.col("lead").desc())
-    diffs = scratch.save(rows.mapInArrow(tidy(_differences(threshold)), "root bigint, sid bigint, copies bigint, n bigint, lost bigint, pivot bigint, core boolean, diff binary"))
+    diffs = scratch.save(rows.mapInArrow(tidy(_differences(threshold)), "root bigint, sid bigint, class bigint, copies bigint, n bigint, lost bigint, pivot bigint, core boolean, diff binary"))
     scratch.drop(members, dealt, pivots, sets)
 
     blocks = F.greatest(F.ceil(F.count("*") / (2 * BLOCK)), F.ceil(F.sum(F.length("diff")) / BLOCK_BYTES)).cast("int")
     kinds = diffs.groupBy("root", "core").agg(blocks.alias("blocks"), F.sum("copies").alias("all_copies"))
     numbers = kinds.groupBy("root").agg(*[F.sum(F.when(F.col("core") == core, F.col("blocks")).otherwise(0)).cast("int").alias(name) for core, name in ((False, "open"), (True, "closed"))])
-    placed = diffs.join(kinds, ["root", "core"]).withColumn("k", F.pmod(F.xxhash64(F.lit(6), "sid"), F.col("blocks")).cast("int"))
-    sure = placed.select("sid", F.when(F.col("core"), F.col("all_copies") - F.col("copies")).otherwise(0).cast("bigint").alias("links"))
+    sets = diffs.join(kinds, ["root", "core"]).withColumn("k", F.pmod(F.xxhash64(F.lit(6), "sid"), F.col("blocks")).cast("int"))
 
     # Rim blocks come first; a pair has one of them at least.
-    placed = placed.join(numbers.where("open > 0"), "root").withColumn("gid", F.xxhash64("root", "core", "k"))
-    packed = placed.select("gid", "root", "core", "k", "pivot", "sid", "copies", "n", "lost", "diff").repartition("gid").sortWithinPartitions("gid")
+    placed = sets.join(numbers.where("open > 0"), "root").withColumn("gid", F.xxhash64("root", "core", "k"))
+    packed = placed.select("gid", "root", "core", "k", "pivot", "sid", "class", "copies", "n", "lost", "diff").repartition("gid").sortWithinPartitions("gid")
     packed = packed.mapInArrow(tidy(_pack), "root bigint, core boolean, k int, pivot bigint, facts binary, diffs binary").join(numbers, "root")
     at = F.when(F.col("core"), F.col("open") + F.col("k")).otherwise(F.col("k"))
     others = F.sequence(F.lit(0), F.col("open") - 1 + F.when(F.col("core"), 0).otherwise(F.col("closed")))
     pairs = packed.select("root", at.alias("at"), "pivot", "facts", "diffs", F.explode(others).alias("to"))
     pairs = pairs.select(F.xxhash64("root", F.least("at", "to"), F.greatest("at", "to")).alias("gid"), "pivot", "facts", "diffs", (F.col("at") == F.col("to")).alias("itself"))
-    found = pairs.repartition("gid").sortWithinPartitions("gid").mapInArrow(tidy(_counted_pairs(threshold)), "sid bigint, links bigint")
+    return diffs, sets, pairs.repartition("gid").sortWithinPartitions("gid")
+
+
+def _across(groups: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``a, b``: links that connect all classes with linked sets in a group ``gid, sid, root``, by all its pairs, exactly."""
+    diffs, sets, pairs = _in_blocks(groups.select(F.col("gid").alias("root"), "sid", F.col("root").alias("class")), nodes, texts, scratch, threshold)
+    core = sets.where("core").select("root", "sid", "class")
+    hubs = core.groupBy("root").agg(F.min(F.struct("sid", "class")).alias("hub"))
+    sure = core.join(hubs, "root").where(F.col("class") != F.col("hub.class")).select(F.col("hub.sid").alias("a"), F.col("sid").alias("b"))
+    out = scratch.save(sure.unionByName(pairs.mapInArrow(tidy(_linked_pairs(threshold)), "a bigint, b bigint")))
+    scratch.drop(diffs)
+    return out
+
+
+def _all_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``sid, links``: how many documents of other sets each set is linked with, by all pairs of its class, exactly."""
+    diffs, sets, pairs = _in_blocks(members.select("root", "sid", F.col("root").alias("class")), nodes, texts, scratch, threshold)
+    sure = sets.select("sid", F.when(F.col("core"), F.col("all_copies") - F.col("copies")).otherwise(0).cast("bigint").alias("links"))
+    found = pairs.mapInArrow(tidy(_counted_pairs(threshold)), "sid bigint, links bigint")
     out = scratch.save(sure.unionByName(found).groupBy("sid").agg(F.sum("links").alias("links")))
     scratch.drop(diffs)
     return out
@@ -573,7 +642,10 @@ def _joined(df: DataFrame, doc_id: str, text: str, threshold: float, recall: flo
     large = leaves.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         groups = _open(large, nodes, roots, scratch)
-        between = _found(groups, nodes, texts, scratch, threshold, False).where("b is not null").select("a", "b")
+        between = _found(groups.where("not whole").drop("whole"), nodes, texts, scratch, threshold, False).where("b is not null").select("a", "b")
+        whole = groups.where("whole")
+        if not whole.isEmpty():
+            between = between.unionByName(_across(whole, nodes, texts, scratch, threshold))
         for end in ("a", "b"):  # links between sets become links between their classes
             between = between.withColumnRenamed(end, "sid").join(roots.select("sid", F.col("root").alias(end)), "sid").drop("sid")
         between = scratch.save(between.distinct())

@@ -223,6 +223,54 @@ def test_jaccard_rows_grow_with_the_sets(spark, monkeypatch):
     assert jaccard_join._open(large, sets, same, jaccard_join.Scratch(spark)).count() == 0
 
 
+def test_jaccard_rows_of_strays_that_are_alike(spark, monkeypatch):
+    """600 sets that share three quarters of their sketch, each a class of its own, in two buckets: a row a set."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "FEW", 16)
+    rng = random.Random(3)
+    tokens = [b"".join((0 if rng.random() < 0.87 else rng.randrange(1, 1 << 32)).to_bytes(4, "little") for _ in range(jaccard_join.COORDINATES)) for _ in range(600)]
+    sets = spark.createDataFrame(list(enumerate(tokens)), "sid bigint, mh binary")
+    roots = sets.select("sid", F.col("sid").alias("root"))
+    large = sets.select("sid", F.explode(F.array(F.lit(7), F.lit(8)).cast("array<bigint>")).alias("path"))
+    groups = jaccard_join._open(large, sets, roots, jaccard_join.Scratch(spark))
+    assert groups.count() == 600 and groups.select("gid").distinct().count() == 1
+
+
+def test_jaccard_links_among_strays_that_are_alike(spark, monkeypatch):
+    """Copies with so many edits that some are linked and most are not, in large buckets: classes and links as by all pairs."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    across, met = jaccard_join._across, []
+    monkeypatch.setattr(jaccard_join, "_across", lambda groups, *a: met.append(groups.count()) or across(groups, *a))
+    rng = random.Random(8)
+    words = [f"p{k}" for k in range(120)]
+    rows = edited_copies(rng, words, 220, 5, "v") + edited_copies(rng, words[:100] + [f"q{k}" for k in range(9)], 60, 4, "u")
+    got = {r.doc_id: r for r in jaccard_join.classes(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()}
+    sets = [frozenset(jaccard_join.shingles(x).tolist()) for x in rows]
+    assert met and met[0] > 0
+    assert [got[i].class_id for i in range(len(rows))] == components_of(rows) and len(set(components_of(rows))) > 20
+    assert [got[i].links for i in range(len(rows))] == [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+
+
+def test_jaccard_links_across_blocks(spark):
+    """Classes that are linked in a group, by core sets or others, are connected; one class and strays get no links."""
+    rng = random.Random(5)
+    words = [f"p{k}" for k in range(120)]
+    rows = edited_copies(rng, words, 40, 3, "v") + edited_copies(rng, [f"q{k}" for k in range(60)], 5, 0, "q")[:1] + edited_copies(rng, words[:80], 3, 1, "x")
+    texts = spark.createDataFrame([(t,) for t in dict.fromkeys(rows)], "text string").withColumn("th", jaccard_join._text_hash("text"))
+    nodes, sets = [], []
+    for i, r in enumerate(texts.collect()):
+        sets.append(jaccard_join.shingles(r.text))
+        nodes.append((i, 1, *jaccard_join._signature(sets[-1]), r.th, jaccard_join.sketch(sets[-1]).tobytes()))
+    table = spark.createDataFrame(nodes, "sid bigint, copies bigint, sa bigint, sb bigint, th bigint, mh binary")
+    scratch = jaccard_join.Scratch(spark)
+    groups = table.select(F.lit(3).cast("bigint").alias("gid"), "sid", F.col("sid").alias("root"))
+    edges = jaccard_join._across(groups, table, texts, scratch, 0.8)
+    got = {r.sid: r.root for r in jaccard_join.components(table, edges, scratch).collect()}
+    assert [got[i] for i in range(len(sets))] == components_of([r.text for r in texts.collect()])
+    assert jaccard_join._across(groups.withColumn("root", F.lit(0).cast("bigint")), table, texts, scratch, 0.8).count() == 0
+
+
 def test_jaccard_recall_is_averaged_over_sketches():
     runs = jaccard_join.runs_for(0.999)
     rng = np.random.default_rng(1)
