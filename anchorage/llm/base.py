@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ BLANKS = " \t\n\v\f\r"
 BLANK_BYTES = BLANKS.encode()
 #: A key bitmap has at most so many bits (16 MiB), whatever the number of keys.
 MAX_BITMAP_BITS = 1 << 27
+#: Seconds between two times that the driver gives free memory back.
+RELIEF_S = 3.0
+_relieved = -RELIEF_S
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,6 +54,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        relieve(self.spark)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -72,15 +78,47 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     @functools.wraps(run)
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError, TypeError):  # another C library
-            pass
+        _trim()
 
     return tidied
 
 
+def _trim() -> None:
+    """Gives free memory of this Python process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
+def relieve(spark: SparkSession) -> bool:
+    """Gives free native memory of the driver, its Python and its JVM, back to the system, at most
+    once in RELIEF_S; whether it did.
+
+    Compiling the code of many plans in many threads leaves the JVM's C library with hundreds of
+    MB that it holds but does not use. A JVM without that command keeps them.
+    """
+    global _relieved
+    if time.monotonic() - _relieved < RELIEF_S:
+        return False
+    _trim()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    kinds = [of("javax.management.ObjectName"), of("java.lang.String"), of("[Ljava.lang.Object;"), of("[Ljava.lang.String;")]
+    types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, x in enumerate(kinds):
+        types[i] = x
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # by the interface's method: the server's own class is closed to callers
+        of("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JJavaError:  # another JVM or C library
+        return False
+    finally:
+        _relieved = time.monotonic()
+    return True
+
+
 def bits_for(keys: int) -> int:
     """Bits of a bitmap for so many keys: 32 a key, at most MAX_BITMAP_BITS."""
     return min(MAX_BITMAP_BITS, max(1 << 15, 1 << (max(1, 32 * keys) - 1).bit_length()))

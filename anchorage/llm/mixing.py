@@ -49,8 +49,12 @@ def rate(lam: Column, size: Column, mean: Column, most: float = MOST) -> Column:
     return F.least(F.lit(float(most)), F.exp(lam * size / mean))
 
 
-def _solve(hist: DataFrame, goals: DataFrame, most: float, scratch: Scratch) -> DataFrame:
-    """``source, lam``: safeguarded Newton on the dual, one distributed sum a step."""
+def _solve(hist: DataFrame, goals: DataFrame, most: float, scratch: Scratch, few: bool) -> DataFrame:
+    """``source, lam``: safeguarded Newton on the dual, one distributed sum a step; few: whether a line a source may be broadcast.
+
+    A source's line is part of the sum's key, so that it needs no second join: the driver's memory
+    grows with the plans, threads and code of a call.
+    """
     stats = hist.groupBy("sk").agg((F.sum(F.col("size") * F.col("docs")) / F.sum("docs")).alias("mean"), F.min("size").alias("least"))
     ratio = F.col("target") / F.col("source_size")
     least = F.col("least") / F.col("mean")
@@ -68,11 +72,11 @@ def _solve(hist: DataFrame, goals: DataFrame, most: float, scratch: Scratch) ->
     for _ in range(TURNS):
         x = F.col("size") / F.col("mean")
         r = rate(F.col("lam"), F.col("size"), F.col("mean"), most)
-        sums = hist.join(F.broadcast(state) if _small(state) else state, "sk").groupBy("sk").agg(
+        step = hist.join(F.broadcast(state) if few else state, "sk").groupBy("sk", "mean", "target", "lo", "hi", "lam").agg(
             F.sum(r * F.col("size") * F.col("docs")).alias("got"),
             F.sum(F.when(r < most, r * F.col("size") * x * F.col("docs")).otherwise(0.0)).alias("slope"),
         )
-        step = state.join(sums, "sk").withColumn("gap", F.col("got") - F.col("target"))
+        step = step.withColumn("gap", F.col("got") - F.col("target"))
         lo = F.when(F.col("gap") < 0, F.col("lam")).otherwise(F.col("lo"))
         hi = F.when(F.col("gap") > 0, F.col("lam")).otherwise(F.col("hi"))
         step = step.select("sk", "mean", "target", lo.alias("lo"), hi.alias("hi"), "gap", "slope", F.col("lam").alias("was"))
@@ -100,10 +104,10 @@ def _bucket(turn: int, gap: Column, most: int) -> Column:
     return F.when(able, F.pmod(F.xxhash64(F.lit(turn), "key", "rank"), F.lit(BUCKETS)).cast("int"))
 
 
-def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int) -> DataFrame:
+def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int, few: bool) -> DataFrame:
     """Rows with ``rate`` and ``copies`` after so many turns of settling: a function of the row and
     its source's line in params, so any scan of the documents can repeat it without a shuffle."""
-    out = rows.join(F.broadcast(params) if _small(params) else params, "sk")
+    out = rows.join(F.broadcast(params) if few else params, "sk")
     tilted = F.when(F.col("goal") >= most * F.col("source_size"), float(most)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), most))
     out = out.withColumn("rate", F.when(F.col("size") > 0, tilted).otherwise(0.0))
     unit = F.pmod(F.xxhash64(F.lit(11), "key", "rank"), F.lit(1 << 40)) / float(1 << 40)
@@ -115,7 +119,7 @@ def _decided(rows: DataFrame, params: DataFrame, most: int, turns: int) -> DataF
     return out
 
 
-def _settle(rows: DataFrame, params: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+def _settle(rows: DataFrame, params: DataFrame, most: int, scratch: Scratch, few: bool) -> DataFrame:
     """Adds to params what each turn of settling needs: a source's gap and the bucket to stop at.
 
     In a turn, documents of at most half the gap, later of at most the gap, lie in hash buckets;
@@ -125,10 +129,10 @@ def _settle(rows: DataFrame, params: DataFrame, most: int, scratch: Scratch) ->
     params = params.withColumns({"gaps": F.array().cast("array<double>"), "cuts": F.array().cast("array<int>")})
     params = scratch.save(params)
     for t in range(SETTLING):
-        now = _decided(rows, params, most, t)
+        now = _decided(rows, params, most, t, few)
         gaps = now.groupBy("sk").agg((F.first("goal") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         gaps = scratch.save(gaps)
-        now = now.join(F.broadcast(gaps) if _small(gaps) else gaps, "sk")
+        now = now.join(F.broadcast(gaps) if few else gaps, "sk")
         sums = now.withColumn("bucket", _bucket(t, F.col("gap"), most)).where("bucket is not null").groupBy("sk", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
         reach = F.sum("words").over(W.partitionBy("sk").orderBy("bucket"))
         cut = sums.withColumn("reach", reach).where(F.col("reach") > F.abs("gap")).groupBy("sk").agg(F.min("bucket").alias("cut"))
@@ -147,8 +151,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     they share their copies and a rerun gives the same rows. Other columns than the three are not
     read. An empty table gives no rows.
     """
-    rows, params, _ = _planned(df, doc_id, text, source, weights, most)
-    out = _decided(rows, params, most, SETTLING)
+    rows, params, _, few = _planned(df, doc_id, text, source, weights, most)
+    out = _decided(rows, params, most, SETTLING, few)
     return out.select(F.col("doc_id").alias(doc_id), "size", "source_size", F.col("goal").alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", F.col("source").alias(source))
 
 
@@ -181,8 +185,8 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The thin rows, one line of parameters a source, and keys that several rows have."""
+def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[float, ...], most: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """The thin rows, one line of parameters a source, keys that several rows have, and whether the sources are few."""
     scratch = Scratch(df.sparkSession)
     rows = scratch.save(_thin(df, doc_id, text, source, []))
     repeated = scratch.save(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"))
@@ -193,16 +197,17 @@ def _planned(df: DataFrame, doc_id: str, text: str, source: str, weights: tuple[
     hist = scratch.save(rows.groupBy("source", "sk", "size").agg(F.count("*").alias("docs")))
     sources = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     goals = scratch.save(targets(sources, weights, most).withColumn("sk", _source_key(F.col("source"))))
-    lam = _solve(hist.where("size > 0").drop("source"), goals.where("source_size > 0").drop("source"), float(most), scratch)
+    few = _small(goals)
+    lam = _solve(hist.where("size > 0").drop("source"), goals.where("source_size > 0").drop("source"), float(most), scratch, few)
     params = goals.select("sk", "source_size", F.col("target").alias("goal")).join(lam, "sk", "left")
-    return rows, _settle(rows, params, most, scratch), repeated
+    return rows, _settle(rows, params, most, scratch, few), repeated, few
 
 
 def mixed_documents(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """df's rows as often as the mix takes them, with df's columns; a document without words once."""
-    _, params, repeated = _planned(df, doc_id, text, source, weights, most)
+    _, params, repeated, few = _planned(df, doc_id, text, source, weights, most)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    out = _decided(_ranked(_thin(df, doc_id, text, source, [row]), repeated), params, most, SETTLING)
+    out = _decided(_ranked(_thin(df, doc_id, text, source, [row]), repeated), params, most, SETTLING, few)
     copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(1)
     return out.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("copy")).select("row.*")
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from anchorage.llm import digests, exact_dedup, jaccard_join, licenses, mixing, pieces, queries, sharding, surrogates, toxicity, url_filters
+from anchorage.llm import base, digests, exact_dedup, jaccard_join, licenses, mixing, pieces, queries, sharding, surrogates, toxicity, url_filters
 
 DOCS = "doc_id bigint, text string, source string"
 PROSE = " ".join(f"w{k}" for k in range(60))
@@ -424,6 +424,30 @@ def test_mixing(spark, docs, none):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_counts_sources_once(spark, docs, monkeypatch):
+    """Each turn's plans, threads and code stay in the driver's memory, so a turn makes few."""
+    counted, plans = [], []
+    small, save = mixing._small, mixing.Scratch.save
+    monkeypatch.setattr(mixing, "_small", lambda df: counted.append(df) or small(df))
+    monkeypatch.setattr(mixing.Scratch, "save", lambda self, df: plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or save(self, df))
+    assert mixing.mix(docs).count() == len(ROWS) and len(counted) == 1
+    steps = [p for c, p in plans if c[-1] == "off"][1:]
+    assert steps and all(p.count("Join ") == 1 for p in steps)
+
+
+def test_driver_gives_memory_back(spark, docs, monkeypatch):
+    """Saving a table gives the driver's free native memory back, though not all the time."""
+    given, relieve = [], base.relieve
+    monkeypatch.setattr(base, "relieve", lambda s: given.append(relieve(s)))
+    monkeypatch.setattr(base, "_relieved", -1e9)
+    scratch = base.Scratch(spark)
+    for _ in range(2):
+        assert scratch.save(docs).count() == len(ROWS)
+    assert given[0] and len(given) == 2
+    monkeypatch.setattr(base, "RELIEF_S", 1e9)
+    assert not relieve(spark)
+
+
 @pytest.mark.parametrize("share", [10_000, 7])
 def test_mixing_of_repeated_rows(spark, monkeypatch, share):
     """Null and repeated ids, alike or not: targets are met, and reruns agree."""
