@@ -43,6 +43,8 @@ BLOCK_BYTES = 1 << 22
 DEEPEST = 16
 #: The chance at which the sketch may hide a pair at the threshold from the comparison.
 HIDDEN = 1e-8
+#: Times the usual bits of a bitmap that picks texts: each one picked in vain moves a whole shingle set.
+SPARSE = 8
 
 
 def survival(depth: int, similarity: float = THRESHOLD, deepest: int = DEEPEST) -> float:
@@ -144,26 +146,38 @@ def _children(rows: DataFrame, second: float = SECOND) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "path"], F.explode(child).alias("path"))
 
 
+def _among(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits, b.column("key").to_numpy(zero_copy_only=False))))
+
+    return run
+
+
+def _sketches_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sid, mh`` of the sets in rows, and of few others: what a join with rows has to move."""
+    key = F.xxhash64("sid")
+    bitmap = nodes.sparkSession.sparkContext.broadcast(key_bitmap(rows, key, bits_for(rows.count())).tobytes())
+    keyed = nodes.select("sid", "mh", key.alias("key"))
+    return keyed.mapInArrow(tidy(_among(bitmap)), keyed.schema).drop("key")
+
+
 def _leaves(nodes: DataFrame, scratch: Scratch, runs: int) -> DataFrame:
     """``path, sid, size``: all buckets of two and more sets that are to be compared."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit(7), r))
     rows = nodes.where("n > 0").select("sid", "mh", F.explode(roots).alias("path"))
     out, spent = [], []
     for depth in range(1, DEPTH + 1):
-        dealt = _children(rows)
+        dealt = _children(rows).select("sid", "path")  # sketches stay where they are until a bucket has to be split
         sizes = dealt.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        if depth == 1:  # sketches stay where they are until a bucket has to be split
-            thin = scratch.save(dealt.select("sid", "path").join(sizes, "path"))
-            spent.append(thin)
-            large = thin.where(F.col("size") > LEAF).select("sid", "path").join(nodes.select("sid", "mh"), "sid")
-        else:
-            thin = scratch.save(dealt.join(sizes, "path"))
-            spent.append(thin)
-            large = thin.where(F.col("size") > LEAF).select("sid", "path", "mh")
+        thin = scratch.save(dealt.join(sizes, "path"))
+        spent.append(thin)
         out.append(thin.where(F.col("size") <= LEAF if depth < DEPTH else F.lit(True)).select("path", "sid"))
-        if depth == DEPTH or thin.where(F.col("size") > LEAF).isEmpty():
+        large = thin.where(F.col("size") > LEAF).select("sid", "path")
+        if depth == DEPTH or large.isEmpty():
             break
-        rows = large
+        rows = large.join(_sketches_of(large, nodes), "sid")
     leaves = out[0]
     for x in out[1:]:
         leaves = leaves.unionByName(x)
@@ -285,9 +299,9 @@ def _screen(least: int):
     return run
 
 
-def _dealt(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """The groups' rows with their sets' columns, group after group."""
-    return groups.join(sets, "sid").repartition("gid").sortWithinPartitions("gid")
+def _by_group(rows: DataFrame) -> DataFrame:
+    """The rows group after group."""
+    return rows.repartition("gid").sortWithinPartitions("gid")
 
 
 def forest(linked: np.ndarray, known: np.ndarray) -> list[tuple[int, int]]:
@@ -343,12 +357,12 @@ def _compare(threshold: float):
     return run
 
 
-def _whole(met: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """met with each set's ``shingles``, in place of ``sa, sb, th``."""
-    bitmap = met.sparkSession.sparkContext.broadcast(key_bitmap(met, F.col("th"), bits_for(met.count())).tobytes())
+def _whole(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """met with each set's ``shingles``, in place of ``sa, sb, th``; a set may have several rows."""
+    bitmap = met.sparkSession.sparkContext.broadcast(key_bitmap(met, F.col("th"), bits_for(SPARSE * met.count())).tobytes())
     whole = texts.mapInArrow(tidy(_wanted_shingles(bitmap)), "sa bigint, sb bigint, shingles binary")
     whole = whole.groupBy("sa", "sb").agg(F.any_value("shingles").alias("shingles"))
-    return scratch.save(met.join(whole, ["sa", "sb"]).drop("sa", "sb", "th"))
+    return met.join(whole, ["sa", "sb"]).drop("sa", "sb", "th")
 
 
 def _found(groups: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, counted: bool) -> DataFrame:
@@ -356,15 +370,16 @@ def _found(groups: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scrat
 
     Most sets only share a passage with the others of a group: sketches tell, before any shingle
     moves. Where pairs are counted, a set's groups are a few dozen, and it only moves to those in
-    which it first meets a set that it may be linked with.
+    which it first meets a set that it may be linked with. Shingles move twice: from their texts
+    to their set, and from there to its groups.
     """
     gids = F.array_sort(F.collect_list("gid")) if counted else F.array().cast("array<bigint>")
     every = scratch.save(groups.groupBy("sid").agg(gids.alias("gids")))
-    near = scratch.save(_dealt(groups, nodes.select("sid", "mh").join(every, "sid")).mapInArrow(tidy(_screen(screen_for(threshold))), "gid bigint, sid bigint, root bigint").distinct())
-    met = scratch.save(nodes.join(every, "sid").join(near.select("sid").distinct(), "sid", "left_semi").select("sid", "sa", "sb", "th", "copies", "gids"))
-    sets = _whole(met, texts, scratch)
-    out = scratch.save(_dealt(near, sets).mapInArrow(tidy(_compare(threshold)), "a bigint, b bigint, links bigint"))
-    scratch.drop(every, near, met, sets)
+    dealt = _by_group(groups.join(_sketches_of(every, nodes).join(every, "sid"), "sid"))
+    near = scratch.save(dealt.mapInArrow(tidy(_screen(screen_for(threshold))), "gid bigint, sid bigint, root bigint").distinct())
+    met = scratch.save(near.join(nodes.select("sid", "sa", "sb", "th", "copies"), "sid").join(every, "sid"))
+    out = scratch.save(_by_group(_whole(met, texts)).mapInArrow(tidy(_compare(threshold)), "a bigint, b bigint, links bigint"))
+    scratch.drop(every, near, met)
     return out
 
 
@@ -377,7 +392,7 @@ def _open(large: DataFrame, nodes: DataFrame, roots: DataFrame, scratch: Scratch
     to two children with most of the others: such a bucket, and what is large at the deepest
     level, is a whole group, a row a set, for ``_across``.
     """
-    rows = large.select("path", "sid").join(roots, "sid").join(nodes.select("sid", "mh"), "sid")
+    rows = large.select("path", "sid").join(roots, "sid").join(_sketches_of(large, nodes), "sid")
     out, whole, spent = [], [], []
     for depth in range(DEPTH, DEEPEST + 1):
         rows = scratch.save(rows)
@@ -569,11 +584,13 @@ def _in_blocks(members: DataFrame, nodes: DataFrame, texts: DataFrame, scratch:
     """
     members = scratch.save(members)
     sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = scratch.save(members.join(sizes, "root").join(nodes.select("sid", "copies", "sa", "sb", "th", "mh"), "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("parts")).cast("int")))
+    facts = nodes.select("sid", "copies", "sa", "sb", "th")
+    dealt = scratch.save(members.join(sizes, "root").join(facts, "sid").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "sid"), F.col("parts")).cast("int")))
     least = dealt.groupBy("root").agg(F.min("part").alias("part"))
-    first = dealt.join(least, ["root", "part"]).select("root", "sid", "mh")
+    first = dealt.join(least, ["root", "part"]).select("root", "sid")
+    first = first.join(_sketches_of(first, nodes), "sid")
     pivots = scratch.save(first.repartition("root").sortWithinPartitions("root").mapInArrow(tidy(_medoid), "root bigint, sid bigint"))
-    sets = _whole(dealt.select("sid", "sa", "sb", "th").distinct(), texts, scratch)
+    sets = scratch.save(_whole(dealt.select("sid", "sa", "sb", "th").distinct(), texts))
     leads = pivots.join(sizes, "root").select("root", "sid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     none = F.lit(0).cast("bigint")
     leads = leads.select("root", "part", F.lit(True).alias("lead"), "sid", none.alias("class"), none.alias("copies"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from anchorage.llm import base, digests, exact_dedup, jaccard_join, licenses, mixing, pieces, queries, sharding, surrogates, toxicity, url_filters
@@ -271,6 +272,64 @@ def test_jaccard_links_across_blocks(spark):
     assert jaccard_join._across(groups.withColumn("root", F.lit(0).cast("bigint")), table, texts, scratch, 0.8).count() == 0
 
 
+def shuffled_bytes(spark, name, run):
+    """Bytes that the jobs of a call write for others to read, with joins that do not broadcast."""
+    sc, threshold = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    sc.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.conf.set(threshold, before)
+        for key in ("spark.jobGroup.id", "spark.job.description"):
+            sc.setLocalProperty(key, None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {i for j in tracker.getJobIdsForGroup(name) for i in tracker.getJobInfo(j).stageIds}
+    moved = 0
+    for i in stages:
+        try:
+            moved += store.lastStageAttempt(i).shuffleWriteBytes()
+        except Py4JJavaError:  # skipped, and forgotten first: another job has written its rows
+            pass
+    return moved
+
+
+def test_jaccard_shingles_move_twice(spark):
+    """Shingle sets move to one place from their texts, and from there to their group."""
+    rng = random.Random(9)
+    rows = edited_copies(rng, [f"p{k}" for k in range(4000)], 30, 3, "v")
+    rows = [t + f" end{i}" for i, t in enumerate(rows)]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").withColumn("th", jaccard_join._text_hash("text"))
+    sets = [jaccard_join.shingles(t) for t in rows]
+    facts = [(i, 1, *jaccard_join._signature(x), r.th, jaccard_join.sketch(x).tobytes()) for i, (x, r) in enumerate(zip(sets, texts.collect(), strict=True))]
+    scratch = jaccard_join.Scratch(spark)
+    nodes = scratch.save(spark.createDataFrame(facts, "sid bigint, copies bigint, sa bigint, sb bigint, th bigint, mh binary"))
+    groups = scratch.save(nodes.select(F.lit(3).cast("bigint").alias("gid"), "sid", F.col("sid").alias("root")))
+    found = []
+    moved = shuffled_bytes(spark, "shingles", lambda: found.append(jaccard_join._found(groups, nodes, texts, scratch, 0.8, True)))
+    assert {r.a: r.links for r in found[0].where("b is null").collect()} == dict.fromkeys(range(30), 29)
+    size = sum(x.nbytes for x in sets)
+    assert 1.5 * size < moved < 2.5 * size
+
+
+def test_jaccard_other_sketches_stay(spark, monkeypatch):
+    """Where 200 of 4000 sets are in buckets that are split, the others' sketches do not move."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 32)
+    monkeypatch.setattr(jaccard_join, "FEW", 16)
+    rng = np.random.default_rng(4)
+    tokens = [rng.integers(0, 1 << 32, jaccard_join.COORDINATES, np.uint32).tobytes() for _ in range(4000)]
+    scratch = jaccard_join.Scratch(spark)
+    nodes = scratch.save(spark.createDataFrame([(i, 9, x) for i, x in enumerate(tokens)], "sid bigint, n int, mh binary"))
+    roots = scratch.save(nodes.select("sid", F.col("sid").alias("root")))
+    large = scratch.save(nodes.where("sid < 200").select(F.lit(7).cast("bigint").alias("path"), "sid"))
+    groups = []
+    moved = shuffled_bytes(spark, "sketches", lambda: groups.append(jaccard_join._open(large, nodes, roots, scratch)))
+    assert groups[0].count() == 0  # all fall apart
+    assert moved < sum(map(len, tokens)) / 2
+
+
 def test_jaccard_recall_is_averaged_over_sketches():
     runs = jaccard_join.runs_for(0.999)
     rng = np.random.default_rng(1)
