@@ -169,15 +169,17 @@ def _leaves(nodes: DataFrame, scratch: Scratch, runs: int) -> DataFrame:
     rows = nodes.where("n > 0").select("sid", "mh", F.explode(roots).alias("path"))
     out, spent = [], []
     for depth in range(1, DEPTH + 1):
-        dealt = _children(rows).select("sid", "path")  # sketches stay where they are until a bucket has to be split
+        dealt = _children(rows)
         sizes = dealt.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        if depth in (1, DEPTH):  # sketches stay where they are until a bucket has to be split, and at the last depth
+            dealt = dealt.select("sid", "path")
         thin = scratch.save(dealt.join(sizes, "path"))
         spent.append(thin)
         out.append(thin.where(F.col("size") <= LEAF if depth < DEPTH else F.lit(True)).select("path", "sid"))
-        large = thin.where(F.col("size") > LEAF).select("sid", "path")
+        large = thin.where(F.col("size") > LEAF).drop("size")
         if depth == DEPTH or large.isEmpty():
             break
-        rows = large.join(_sketches_of(large, nodes), "sid")
+        rows = large.join(_sketches_of(large, nodes), "sid") if depth == 1 else large
     leaves = out[0]
     for x in out[1:]:
         leaves = leaves.unionByName(x)
